@@ -200,7 +200,8 @@ def snapshot_changes(rows: DataFrame, runs: DataFrame, keys: dict[str, Column],
     bits, words = _bloom(found.select(F.col("lookup_run").alias("run_id"), "kh"), found.count())
     named = rows.select(F.col(run).alias("lookup_run"), *[c.alias(k) for k, c in keys.items()], key.alias("kh"))
     spots = _bits("lookup_run", "kh", words)
-    named = named.where(_set_in(bits, spots))
+    # The row number, always true, keeps the optimizer from inlining the hash into the filter, where it would be worked out for each bit.
+    named = named.withColumn("row", F.monotonically_increasing_id()).where(_set_in(bits, spots) & (F.col("row") >= 0))
     return named.join(found, ["lookup_run", "kh"]).select(F.col("change_run").alias("run_id"), *keys, "change_kind").distinct()
 
 
