@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import lookalikes, mixing, near_duplicates, packing, splitting
+from lodestack.llm import lookalikes, mixing, near_duplicates, packing, splitting, subjects
 from lodestack.plans.registry import Query
 from lodestack.runtime import table
 
@@ -23,6 +23,10 @@ def _groups(spark, d):  # noqa: ANN001, ANN202
     return near_duplicates.near_duplicate_groups(table(spark, d, "work_items"))
 
 
+def _subjects(spark, d):  # noqa: ANN001, ANN202
+    return subjects.subjects(table(spark, d, "work_items"), table(spark, d, "domain_taxonomy"), table(spark, d, "subject_examples"))
+
+
 P3_SQL = """
 SELECT DISTINCT artifact_dir, config_id FROM work_items w JOIN llm_config c
 ON coalesce(max_input_chars, 12000) > 0 AND length(text) > coalesce(max_input_chars, 12000)
@@ -35,6 +39,9 @@ WHERE target_share * budget_ratio * (SELECT sum(tokens) FROM s) > max_repeats *
 """
 
 QUERIES = {
+    "p2_found": Query(lambda s, d: subjects.assigned(_subjects(s, d))),
+    "p2_mixtures": Query(_subjects),
+    "p2_composition": Query(lambda s, d: subjects.composition(_subjects(s, d))),
     "p3_found": Query(lambda s, d: splitting.cut_items(_pieces(s, d)), P3_SQL),
     "p3_pieces": Query(_pieces),
     "p5_found": Query(lambda s, d: near_duplicates.group_pairs(_groups(s, d))),
