@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import lookalikes, mixing, near_duplicates, packing, splitting, subjects
+from lodestack.llm import lookalikes, mixing, near_duplicates, packing, scans, splitting, subjects
 from lodestack.plans.registry import Query
 from lodestack.runtime import table
 
@@ -27,6 +27,10 @@ def _subjects(spark, d):  # noqa: ANN001, ANN202
     return subjects.subjects(table(spark, d, "work_items"), table(spark, d, "domain_taxonomy"), table(spark, d, "subject_examples"))
 
 
+def _records(spark, d):  # noqa: ANN001, ANN202
+    return scans.records(table(spark, d, "work_items"), table(spark, d, "compliance_assessment_evidence"))
+
+
 P3_SQL = """
 SELECT DISTINCT artifact_dir, config_id FROM work_items w JOIN llm_config c
 ON coalesce(max_input_chars, 12000) > 0 AND length(text) > coalesce(max_input_chars, 12000)
@@ -39,6 +43,8 @@ WHERE target_share * budget_ratio * (SELECT sum(tokens) FROM s) > max_repeats *
 """
 
 QUERIES = {
+    "p1_found": Query(lambda s, d: scans.found_noise(_records(s, d))),
+    "p1_repaired": Query(lambda s, d: scans.repaired(_records(s, d))),
     "p2_found": Query(lambda s, d: subjects.assigned(_subjects(s, d))),
     "p2_mixtures": Query(_subjects),
     "p2_composition": Query(lambda s, d: subjects.composition(_subjects(s, d))),
