@@ -46,3 +46,43 @@ def removal_report(changes: DataFrame, runs: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     out = said.join(counted, "run_id", "left").select("run_id", "scan_root", zero("added"), zero("removed"), zero("changed"), "said_removed")
     return out.withColumn("truthful", F.col("said_removed") == F.col("removed"))
+
+
+def link_rows(links: DataFrame) -> DataFrame:
+    """The links with null-safe keys: source_artifact_id, normalized_url, anchor ('' for NULL)."""
+    return links.withColumn("anchor", F.coalesce("anchor_text", F.lit("")))
+
+
+def upsert_links(prior: DataFrame, seen: DataFrame, scanned: DataFrame) -> DataFrame:
+    """The link store after a scan. prior and seen: key columns, raw_url, first_seen, last_seen (seen: one row per key); scanned: artifacts the scan read.
+
+    A link seen now is ACTIVE with its raw_url of now and its old first_seen; a known link of a scanned artifact that wasn't seen is STALE;
+    links of other artifacts stay as they are. Null-safe keys come from link_rows.
+    """
+    keys = ["source_artifact_id", "normalized_url", "anchor"]
+    a = prior.select(*keys, F.struct("raw_url", "first_seen", "last_seen", "status").alias("a"))
+    b = seen.select(*keys, F.struct("raw_url", F.col("first_seen"), F.col("last_seen")).alias("b"))
+    j = a.join(b, keys, "full").join(scanned.select("source_artifact_id").distinct().withColumn("read", F.lit(True)), "source_artifact_id", "left")
+    now = F.col("b").isNotNull()
+    return j.select(
+        *keys,
+        F.when(now, F.col("b.raw_url")).otherwise(F.col("a.raw_url")).alias("raw_url"),
+        F.coalesce("a.first_seen", "b.first_seen").alias("first_seen"),
+        F.when(now, F.col("b.last_seen")).otherwise(F.col("a.last_seen")).alias("last_seen"),
+        F.when(now, "ACTIVE").when(F.col("read"), "STALE").otherwise(F.col("a.status")).alias("status"),
+    )
+
+
+# Links as prose and Markdown hold them.
+MARKDOWN = r"\[([^\]]+)\]\(([^)\s]+)\)"
+BARE = r"(?i)(?:https?|file|mailto):[^\s)\]>\"']+"
+
+
+def extract_links(texts: DataFrame, key: str) -> DataFrame:
+    """key, raw_url, anchor_text, position: Markdown links first, then bare addresses; the first sight of an address in a text counts."""
+    anchors, urls = F.regexp_extract_all("text", F.lit(MARKDOWN), 1), F.regexp_extract_all("text", F.lit(MARKDOWN), 2)
+    marked = F.transform(F.arrays_zip(anchors.alias("a"), urls.alias("u")), lambda x: F.struct(x["u"].alias("raw_url"), x["a"].alias("anchor_text")))
+    marked = F.filter(marked, lambda x: x["raw_url"].rlike(r"^(?i)(?:https?|file|mailto):"))
+    bare = F.transform(F.regexp_extract_all("text", F.lit(BARE), 0), lambda u: F.struct(u.alias("raw_url"), F.lit(None).cast("string").alias("anchor_text")))
+    each = texts.where(F.col("text").isNotNull()).select(key, F.posexplode(F.concat(marked, bare)).alias("position", "x"))
+    return each.groupBy(key, F.col("x.raw_url").alias("raw_url")).agg(F.min_by("x.anchor_text", "position").alias("anchor_text"), F.min("position").alias("position"))
