@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that hold QUERIES.
-MODULES = ["links", "catalog", "resolution", "semantic", "compliance", "graph", "history", "retrieval"]
+MODULES = ["links", "catalog", "resolution", "semantic", "compliance", "graph", "history", "retrieval", "streams"]
 
 
 class Query(NamedTuple):

@@ -1 +1 @@
-
+"""Streams of scan events and file changes."""
