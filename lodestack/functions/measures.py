@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marks of formulas, and terms of normative texts.
@@ -16,25 +16,22 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
-def profile(text: Column) -> dict[str, Column]:
-    """Length, share of symbols, formula marks, normative terms, their blend, and whether the deep model is due. NULL is ''."""
-    body = F.coalesce(text, F.lit(""))
-    low = F.lower(body)
-    solid = F.regexp_replace(body, r"(?U)\s+", "")
-    symbols = F.length(F.regexp_replace(solid, r"[\p{L}\p{N}]+", ""))
-    ratio = F.when(F.length(solid) > 0, symbols / F.length(solid)).otherwise(F.lit(0.0))
-    formulas = F.regexp_count(body, F.lit(FORMULA))
-    terms = sum((occurrences(low, t) for t in NORMATIVE[1:]), occurrences(low, NORMATIVE[0]))
+def profiled(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, length, share of symbols, formula marks, normative terms, their blend, and whether the deep model is due. NULL is ''.
+
+    In steps, so that each measure is worked out once.
+    """
+    a = df.select(key, F.coalesce(text, F.lit("")).alias("body"))
+    a = a.select(key, "body", F.lower("body").alias("low"), F.regexp_replace("body", r"(?U)\s+", "").alias("solid"))
+    symbols = F.length(F.regexp_replace("solid", r"[\p{L}\p{N}]+", ""))
+    terms = sum((occurrences(F.col("low"), t) for t in NORMATIVE[1:]), occurrences(F.col("low"), NORMATIVE[0]))
+    a = a.select(
+        key, F.length("body").alias("char_count"), F.coalesce(F.try_divide(symbols, F.length("solid")), F.lit(0.0)).alias("ratio"), F.regexp_count("body", F.lit(FORMULA)).alias("equation_hits"), terms.alias("standard_hits")
+    )
     one = F.lit(1.0)
-    score = 0.35 * F.least(one, F.length(body) / LONG_CHARS) + 0.20 * F.least(one, ratio / 0.30) + 0.25 * F.least(one, formulas / 5.0) + 0.20 * F.least(one, terms / 8.0)
-    return {
-        "char_count": F.length(body),
-        "symbol_ratio": F.round(ratio, 4),
-        "equation_hits": formulas,
-        "standard_hits": terms,
-        "score": F.round(F.least(one, score), 4),
-        "forces_deep": (formulas >= 2) | (terms >= 4),
-    }
+    score = 0.35 * F.least(one, F.col("char_count") / LONG_CHARS) + 0.20 * F.least(one, F.col("ratio") / 0.30) + 0.25 * F.least(one, F.col("equation_hits") / 5.0) + 0.20 * F.least(one, F.col("standard_hits") / 8.0)
+    deep = (F.col("equation_hits") >= 2) | (F.col("standard_hits") >= 4)
+    return a.select(key, "char_count", F.round("ratio", 4).alias("symbol_ratio"), "equation_hits", "standard_hits", F.round(F.least(one, score), 4).alias("score"), deep.alias("forces_deep"))
 
 
 def saturated(value: Column, target: int) -> Column:

@@ -35,7 +35,7 @@ def link_changes(links: DataFrame, runs: DataFrame) -> DataFrame:
         "normalized_url": url_key(F.col("normalized_url")),
         "anchor_text": stripped(F.coalesce("anchor_text", F.lit(""))),
     }
-    return snapshot_changes(links, runs.withColumnRenamed("scan_root", "root"), keys, LINK_VALUES)
+    return snapshot_changes(links, runs.select("id", F.col("scan_root").alias("root"), "started_at", "completed_at"), keys, LINK_VALUES)
 
 
 def removal_report(changes: DataFrame, runs: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def set_difference(new: tuple[np.ndarray, np.ndarray], old: tuple[np.ndarray, np
             key, value, sign = found
             if digest[0] ^ digest[1] == np.bitwise_xor.reduce(_mix(_element(key, value)), initial=_U(0)) and sign.sum() == len(new[0]) - len(old[0]):
                 return found
-        cells = 2 * cells
+        cells = min(max(24, 2 * cells), 8 * (len(new[0]) + len(old[0])) + 64)  # beyond that only another seed helps
     raise ValueError("no table of any size could be peeled")  # two different elements with the same 128 bits
 
 

@@ -116,7 +116,7 @@ x AS (SELECT *, lag(coalesce(o, '')) OVER (PARTITION BY conv ORDER BY turn) AS p
 SELECT conv, turn, CASE WHEN refers AND o IS NULL THEN coalesce(p, '') ELSE coalesce(o, '') END AS carried FROM x WHERE back <= 20""",
     ),
     "doc_chunks": Query(_chunks, CHUNKS),
-    "doc_routing_profile": Query(lambda s, d: table(s, d, "documents").select("doc_id", *[c.alias(n) for n, c in measures.profile(F.col("text")).items()]), _profile_sql()),
+    "doc_routing_profile": Query(lambda s, d: measures.profiled(table(s, d, "documents"), "doc_id"), _profile_sql()),
     "doc_clause_refs": Query(lambda s, d: table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(D.clause_references("text")).alias("position", "clause"))),
     "doc_clause_keywords": Query(
         lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)(?:clauses?|sub-?clauses?|sections?|paragraphs?|paras?|articles?|art\.|cl\.|sec\.|§)\s*(\d+(?:\.\d+)*)"), 1)).alias("clause")).distinct(),
