@@ -27,7 +27,7 @@ LEAF_FIT = 0.6
 #: A term counts for an area when it was in so many sentences there and is so much likelier there than on average (nats).
 LEAST_COUNT, LEAST_WEIGHT = 3, 0.7
 #: A sentence deals with its best area when its terms' weights, each at most TOP_WEIGHT, sum to so much.
-DEALS, TOP_WEIGHT = 3.0, 3.0
+DEALS, TOP_WEIGHT = 3.6, 3.0
 ROUNDS, SHARE = 3, 0.2
 #: Sentences an example of an area stands for when leaves are first labelled.
 EXAMPLE_WEIGHT = 5
@@ -123,11 +123,13 @@ class Model:
 
 
 def _weights(counts: dict[tuple[str, str], float], by_area: dict[str, float], overall: dict[str, float], n: float) -> Model:
-    """Log likelihood ratio of each term in an area's sentences against all sentences."""
+    """Log likelihood ratio of each term in an area's sentences against all others, so that a large area's terms weigh as much as a small one's."""
     out: dict[str, dict[str, float]] = defaultdict(dict)
     for (area, term), c in counts.items():
-        p = overall.get(term, c) / n
-        w = log((c + 20 * p) / (by_area[area] + 20)) - log(p)
+        everywhere = max(overall.get(term, c), c)
+        p = everywhere / n
+        elsewhere = (everywhere - c + 0.5) / (max(n - by_area[area], 0.0) + 1)
+        w = log((c + 20 * p) / (by_area[area] + 20)) - log(elsewhere)
         if c >= LEAST_COUNT and w >= LEAST_WEIGHT:
             out[term][area] = min(w, TOP_WEIGHT)
     return Model(dict(out))
