@@ -106,7 +106,7 @@ QUERIES = {
         f"""WITH RECURSIVE {KEPT}, l AS (SELECT DISTINCT source, predicate, target, least(a.confidence, b.confidence) AS confidence FROM h JOIN k a ON a.id = source JOIN k b ON b.id = target), e AS (SELECT confidence FROM compliance_assessment_evidence WHERE assessment_id = 1),
 m AS (SELECT (SELECT coalesce(avg(confidence), 0) FROM k WHERE dist = 0) AS o, (SELECT coalesce(avg(confidence), 0) FROM l) AS r, (SELECT count(*) FROM l) AS nr, (SELECT coalesce(avg(confidence), 0) FROM e) AS ev, (SELECT count(*) FROM e) AS ne),
 c AS (SELECT *, 0.5 * CASE WHEN ne > 0 THEN 1 ELSE 0.5 END AS cov FROM m), s AS (SELECT *, round(greatest(0, least(1, CASE WHEN nr > 0 THEN 0.30 * o + 0.20 * r + 0.30 * ev + 0.20 * cov ELSE 0.30 * o + 0.50 * ev + 0.20 * cov END)), 3) AS score FROM c)
-SELECT round(o, 3) AS object, round(r, 3) AS relationship, round(ev, 3) AS evidence, round(cov, 3) AS coverage, score, CASE WHEN score >= 0.75 THEN 'High' WHEN score >= 0.5 THEN 'Medium' ELSE 'Low' END AS band FROM s""",
+SELECT round(o, 3) AS object, round(r, 3) AS relationship, round(ev, 3) AS evidence, round(cov::DOUBLE, 3) AS coverage, score, CASE WHEN score >= 0.75 THEN 'High' WHEN score >= 0.5 THEN 'Medium' ELSE 'Low' END AS band FROM s""",
     ),
     "rag_context": Query(lambda s, d: R.context(_kept(s, d), S.vertices(s, d), _links(s, d))),
     "rag_follow_up": Query(
