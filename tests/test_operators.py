@@ -208,7 +208,7 @@ def test_terms(spark, small):
 def test_clauses_and_formulas():
     assert documents.clauses("Design in accordance with clause 6.2 and 6.3; see 7.3.1.") == ["6.2", "6.3", "7.3.1"]
     assert documents.clauses("1.5 and 2.0") == documents.clauses(None) == []
-    assert documents.check_formula("sqrt(a*x) + pi * b") == (True, ["a", "x", "b"], "")
+    assert documents.check_formula("sqrt(a*x) + pi * b") == (True, ["a", "b", "x"], "")
     for bad in ("__import__('os')", "a.b", "open('x')", "lambda: 1", "", None, "a +", "max(a, key=b)", "'text'"):
         assert not documents.check_formula(bad)[0]
 
