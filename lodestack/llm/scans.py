@@ -2,7 +2,8 @@
 
 Counts and skip-gram vectors come from all texts. A word is a misreading when plausible glyph edits lead from it to a word many times
 as frequent whose vector suits the neighbours; the edits are tried word by word against a lexicon of bounded size,
-so nothing that grows with the rare words is sent around. Lines of page furniture are known by form and place.
+so nothing that grows with the rare words is sent around. Copies and near copies of a text count once where it is asked how often a
+possible misreading was seen, else a text copied often would vouch for its own misreadings. Lines of page furniture are known by form and place.
 The vectors are the leading singular vectors of the positive pointwise mutual information of the skip-gram pairs, which is
 what skip-gram training with negative samples approaches (Levy and Goldberg 2014), found in one pass and the same in each run.
 """
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.near_duplicates import near_duplicate_groups
 from lodestack.runtime import cut
 
 #: Words the lexicon holds at most, the most frequent of them that have vectors, and the vectors' length and window.
@@ -27,6 +29,8 @@ LEXICON, VECTORS, DIMENSIONS, WINDOW = 200_000, 4_096, 48, 2
 RATIO, EDITS, SUITS = 100.0, 2, -0.2
 #: Sightings of a misreading that say nothing yet, and what it counts for with fewer.
 CHANCE, LEAST = 2, 0.2
+#: Sightings of a word that are looked at first, and how many times those that would clear it.
+FIRST, TIMES = 64, 4
 #: A joined word must have been seen so often inside lines.
 SEEN = 2
 
@@ -54,8 +58,12 @@ _SETTING = re.compile(r"^\w+:\s*\S+(?:\s\S+){0,2}$")
 class Reader:
     """The learned model: word counts and vectors."""
 
-    def __init__(self, counts: dict[str, int], vectors: np.ndarray, rows: dict[str, int]) -> None:
-        self.counts, self.vectors, self.rows, self.known, self.fine = counts, vectors, rows, {}, set()
+    def __init__(self, counts: dict[str, int], vectors: np.ndarray, rows: dict[str, int], own: dict[str, int] | None = None) -> None:
+        """own: sightings without copies, of words where that differs from counts."""
+        self.counts, self.vectors, self.rows, self.own, self.known, self.fine = counts, vectors, rows, own or {}, {}, set()
+
+    def seen(self, word: str) -> int:
+        return self.own.get(word, self.counts.get(word, 0))
 
     def edits(self, word: str, depth: int = EDITS) -> dict[str, bool]:
         """Words of the lexicon a few glyph edits away; True: only symbols had to be replaced."""
@@ -78,6 +86,22 @@ class Reader:
                 break
         return out
 
+    def right(self, word: str, own: int) -> dict[str, bool]:
+        """Words that a word with so many sightings is a misreading of."""
+        if len(word) < 2 or not _LETTER.search(word):
+            return {}
+        return {w: sure for w, sure in self.edits(word).items() if self.counts[w] >= (SEEN if sure and own <= CHANCE else RATIO * max(own - CHANCE, LEAST))}
+
+    def contested(self) -> dict[str, float]:
+        """Words that pass for right ones by their sightings alone, and the sightings without copies that would prove it."""
+        out: dict[str, float] = {}
+        for word, n in self.counts.items():
+            if n > CHANCE and (could := self.right(word, 0)) and could != self.right(word, n):
+                out[word] = max(self.counts[w] for w in could) / RATIO + CHANCE
+            elif n >= SEEN and "-" in word and any(self.right(p, 0) for p in word.split("-")):
+                out[word] = SEEN
+        return out
+
     def suits(self, word: str, near: list[str]) -> float:
         """Cosine of a word's vector and its neighbours'; 0 when nothing is known of either."""
         at = [self.rows[w] for w in near if w in self.rows]
@@ -92,11 +116,11 @@ class Reader:
         if low in self.known:
             found = self.known[low]
         else:
-            own = self.counts.get(low, 0)
-            found = {} if len(low) < 2 or not _LETTER.search(low) else {w: sure for w, sure in self.edits(low).items() if self.counts[w] >= (SEEN if sure and own <= CHANCE else RATIO * max(own - CHANCE, LEAST))}
+            own = self.seen(low)
+            found = self.right(low, own)
             if not found and "-" in low and own < SEEN:
                 parts = low.split("-")
-                told = [self.meant(p, []) if p and self.counts.get(p, 0) < SEEN else None for p in parts]
+                told = [self.meant(p, []) if p and self.seen(p) < SEEN else None for p in parts]
                 if any(told):
                     found = {"-".join(t or p for t, p in zip(told, parts, strict=True)): True}
             if len(self.known) < 200_000:
@@ -326,10 +350,11 @@ class _Unknown(dict):
 _LINE_OR_WORD = re.compile(r"\n|\w+(?:[-'’]\w+)*")
 
 
-def _numbered(texts: Iterable[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' words in lower case by their numbers, and which of them stand inside a line: line ends may have broken the first and last."""
-    words = ["\n"]
+def _numbered(texts: Iterable[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The texts' words in lower case by their numbers, which of them stand inside a line (line ends may have broken the first and last), and where each text begins."""
+    words, starts = ["\n"], []
     for text in texts:
+        starts.append(len(words))
         words += _LINE_OR_WORD.findall(text.lower())
         words.append("\n")
     ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
@@ -337,34 +362,53 @@ def _numbered(texts: Iterable[str], numbers: dict[str, int]) -> tuple[np.ndarray
     inside = ~ends
     inside[1:] &= ~ends[:-1]
     inside[:-1] &= ~ends[1:]
-    return ids, inside
+    return ids, inside, starts
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         numbers: dict[str, int] = defaultdict(count().__next__)
-        ids, inside = _numbered(frame["text"], numbers)
+        ids, inside, _ = _numbered(frame["text"], numbers)
         n = np.bincount(ids[inside], minlength=len(numbers))
         yield pd.DataFrame([(w, k) for w, k in zip(numbers, n.tolist(), strict=True) if k and len(w) <= 40], columns=["word", "n"])
 
 
-def _skipgrams(rows: dict[str, int]):  # noqa: ANN202
-    """Counts of pairs (word, neighbour) within the window, combined per batch. Line ends are further apart than the window."""
+def _skipgrams(rows: dict[str, int], contested: dict[str, int]):  # noqa: ANN202
+    """Counts of pairs (word, neighbour) within the window, combined per batch, with key 0. Line ends are further apart than the window.
+
+    Also the sightings of contested words (numbered from 0) by text: code is -1 - number, key the text's.
+    """
     size = len(rows)
     numbers = _Unknown(rows)
     numbers["\n"] = -2
+    # Numbers of contested words are those of their rows, or follow them.
+    free = size
+    for w in contested:
+        if w not in rows:
+            numbers[w], free = free, free + 1
+    which = np.full(free + 1, -1, np.int64)
+    for w, k in contested.items():
+        which[numbers[w]] = k
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x, inside = _numbered(frame["text"], numbers)
+            x, inside, starts = _numbered(frame["text"], numbers)
             x[~inside] = -1
+            if contested:
+                word = which[x]  # -1 has the last place
+                word[x < 0] = -1
+                at = np.flatnonzero(word >= 0)
+                hits, times = np.unique(np.searchsorted(starts, at, "right") * len(contested) + word[at], return_counts=True)
+                text = hits // len(contested) - 1
+                yield pd.DataFrame({"code": -1 - hits % len(contested), "key": frame["key"].to_numpy()[text], "n": times})
+                x[x >= size] = -1
             pairs = []
             for d in range(1, WINDOW + 1):
                 a, b = x[:-d], x[d:]
                 ok = (a >= 0) & (b >= 0)
                 pairs += [a[ok] * size + b[ok], b[ok] * size + a[ok]]
             code, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pd.DataFrame({"code": code, "n": n})
+            yield pd.DataFrame({"code": code, "key": np.zeros(len(code), np.int64), "n": n})
 
     return run
 
@@ -385,6 +429,30 @@ def skipgram_vectors(counts: np.ndarray, dimensions: int) -> np.ndarray:
     return (q @ u)[:, :d] * np.sqrt(s[:d])
 
 
+def _without_copies(texts: DataFrame, sightings: DataFrame) -> dict[int, int]:
+    """Sightings of each word, the most in any one text of a group of near copies. texts: key, text. sightings: word, key, n."""
+    groups = near_duplicate_groups(texts.join(sightings.select("key").distinct(), "key", "left_semi"), "key")
+    by_class = sightings.join(groups, "key", "left").groupBy("word", F.coalesce("group_id", "key").alias("class")).agg(F.max("n").alias("n"))
+    return {r.word: r.n for r in by_class.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+
+
+def _own(texts: DataFrame, sightings: DataFrame, words: list[tuple[str, float, int]]) -> dict[str, int]:
+    """Sightings without copies of the contested words (word, sightings that would prove it right, all sightings).
+
+    A sample of a frequent word's texts mostly proves it right; only for words that it doesn't, all texts are grouped.
+    """
+    spark = texts.sparkSession
+    share = [min(1.0, (FIRST + TIMES * need) / n) for _, need, n in words]
+    shares = spark.createDataFrame(list(enumerate(share)), "word long, share double")
+    first = cut(sightings.join(F.broadcast(shares), "word").where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("word", "key", "n"))
+    own = _without_copies(texts, first)
+    open_ = [i for i, (_, need, _) in enumerate(words) if share[i] < 1 and own.get(i, 0) <= need]
+    if open_:
+        rest = spark.createDataFrame([(i,) for i in open_], "word long")
+        own |= _without_copies(texts, cut(sightings.join(F.broadcast(rest), "word")))
+    return {words[i][0]: n for i, n in own.items() if share[i] == 1 or i in set(open_)}
+
+
 def learn(texts: DataFrame) -> Reader:
     """The reader of a collection. texts: one column text, without NULLs."""
     counted = cut(texts.mapInPandas(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -393,10 +461,15 @@ def learn(texts: DataFrame) -> Reader:
     rows = {r.word: i for i, r in enumerate(words[:VECTORS])}
     if not rows:
         return Reader({}, np.zeros((0, 1), np.float32), {})
-    pairs = texts.mapInPandas(_skipgrams(rows), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    contested = Reader(counts, np.zeros((0, 1), np.float32), {}).contested()
+    keyed = texts.select("text", F.xxhash64("text").alias("key"))
+    # Copies of a text have its key.
+    seen = cut(keyed.mapInPandas(_skipgrams(rows, {w: i for i, w in enumerate(contested)}), "code long, key long, n long").groupBy("code", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most")))
+    pairs = seen.where("code >= 0").select("code", "n").toPandas()
+    own = _own(keyed, seen.where("code < 0").select((-1 - F.col("code")).alias("word"), "key", F.col("most").alias("n")), [(w, need, counts[w]) for w, need in contested.items()]) if contested else {}
     matrix = np.zeros(len(rows) ** 2, np.float32)
     matrix[pairs["code"].to_numpy()] = pairs["n"].to_numpy()
-    return Reader(counts, skipgram_vectors(matrix.reshape(len(rows), -1), DIMENSIONS), rows)
+    return Reader(counts, skipgram_vectors(matrix.reshape(len(rows), -1), DIMENSIONS), rows, own)
 
 
 def records(work_items: DataFrame, evidence: DataFrame) -> DataFrame:

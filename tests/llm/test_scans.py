@@ -61,3 +61,17 @@ def test_records(spark):
     assert rows(S.found_noise(recs)) == [("compliance_assessment_evidence", "1", "glyph"), ("work_items", "b", "glyph")]
     assert S.repaired(recs).where("rec_key = 'a' AND text <> '" + BODY + "'").count() == 0
     assert rows(S.found_noise(S.records(w.limit(0), e.limit(0)))) == []
+
+
+def test_copies_do_not_vouch_for_their_misreadings(spark):
+    """A scanned text in 30 near copies and 30 copies: its misread words are still ones, and a word of 30 unlike texts is none."""
+    lines = " ".join(f"the registry staff of unit {i} must update the control library and may report every gap in the evidence log from the annual review" for i in range(60))
+    scan = "on monday the reg1stry staff fr0m the harbour office sent all boxes of old paper files to the eontrol room where two clerks sorted them by year and owner"
+    near = [f"{scan} batch {i}" for i in range(30)] + [scan] * 30
+    apart = [f"{chr(97 + i % 26) * 3}{i} bought item{i} and left form{i} beside vi{i} then the hnd went home to place{i} with guest{i}" for i in range(30)]
+    w = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(near)] + [(f"a{i}", x) for i, x in enumerate(apart)] + [("body", lines)], "artifact_dir string, text string")
+    e = spark.createDataFrame([], "id long, quote string")
+    out = {r.rec_key: r for r in S.repaired(S.records(w, e)).collect()}
+    assert all(out[f"c{i}"].noise == ["glyph"] for i in range(60))
+    assert all("registry staff from the harbour" in out[f"c{i}"].text and "the control room" in out[f"c{i}"].text for i in range(60))
+    assert all(not out[f"a{i}"].noise for i in range(30))
