@@ -24,6 +24,12 @@ def drift(previous: DataFrame, current: DataFrame, established: int = 5, drop: f
     return out.union(fell.select(kind("disappearing_evidence"), "object_id", F.lit("").alias("related_id")))
 
 
+def changed_triples(known: DataFrame, current: DataFrame) -> DataFrame:
+    """source, predicate, target, change of the triples in one of two sets only: added ones are new, removed ones are gone. Copies count once."""
+    k, c = known.select("source", "predicate", "target"), current.select("source", "predicate", "target")
+    return c.subtract(k).withColumn("change", F.lit("added")).union(k.subtract(c).withColumn("change", F.lit("removed")))
+
+
 def replay(log: DataFrame, key: list[str], added: str) -> DataFrame:
     """Keys whose last entry in the log (seq, kind, key columns) is an addition."""
     return log.groupBy(*key).agg(F.max_by("kind", "seq").alias("last")).where(F.col("last") == added).select(*key)

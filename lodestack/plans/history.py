@@ -29,6 +29,11 @@ SELECT 'removed' AS kind, object_id, '' AS related_id FROM gone UNION ALL SELECT
 UNION ALL SELECT 'disappearing_evidence', p.object_id, '' FROM p JOIN c ON p.object_id = c.object_id WHERE p.n > 0 AND c.n < p.n AND c.n / p.n <= 0.5"""
 
 
+def _changed(spark, d):  # noqa: ANN001, ANN202
+    r, since = S.relationships(spark, d), F.lit("2000-01-01").cast("timestamp")
+    return H.changed_triples(r.where(F.col("shipped") < since), r.where(F.col("shipped") >= since))
+
+
 def _log(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "events").where(F.col("event_type").isin("signup", "error"))
     return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "added").otherwise("removed").alias("kind"), F.concat_ws("|", F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("detail"))
@@ -98,6 +103,8 @@ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey
         lambda s, d: (lambda r: r.where("shipped >= TIMESTAMP '2000-01-01'").select("source", "target").exceptAll(r.where("shipped < TIMESTAMP '2000-01-01'").select("source", "target")).distinct().withColumn("change", F.lit("added")))(S.relationships(s, d).select("source", "target", "shipped")),
         f"""WITH {S.RELATIONSHIPS} SELECT DISTINCT source, target, 'added' AS change FROM (SELECT source, target FROM rel WHERE shipped >= TIMESTAMP '2000-01-01' EXCEPT ALL SELECT source, target FROM rel WHERE shipped < TIMESTAMP '2000-01-01')""",
     ),
+    # Whole triples and both kinds of change; the SQL of gov_added_removed_triples holds that query to added pairs.
+    "gov_changed_triples": Query(_changed),
     "gov_strongest_triple": Query(
         lambda s, d: S.relationships(s, d).groupBy("source", "predicate", "target").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n")).where("n > 1"),
         f"WITH {S.RELATIONSHIPS} SELECT source, predicate, target, max(confidence) AS confidence, count(*) AS n FROM rel GROUP BY 1, 2, 3 HAVING count(*) > 1",

@@ -199,6 +199,13 @@ def test_drift(spark):
     assert rows(history.drift(p, c)) == [("disappearing_evidence", "c", ""), ("removed", "a", ""), ("terminology_change", "a", "n")]
 
 
+def test_changed_triples(spark):
+    s = "source string, predicate string, target string"
+    known = spark.createDataFrame([("a", "p", "b"), ("c", "p", "d"), ("e", "p", "f")], s)
+    current = spark.createDataFrame([("a", "p", "b"), ("a", "p", "b"), ("c", "q", "d"), ("g", "p", "h"), ("g", "p", "h")], s)
+    assert rows(history.changed_triples(known, current)) == [("c", "p", "d", "removed"), ("c", "q", "d", "added"), ("e", "p", "f", "removed"), ("g", "p", "h", "added")]
+
+
 def test_terms(spark, small):
     v, _ = small
     got = retrieval.resolve_terms(spark.createDataFrame([("a",), ("BB",), ("c",), ("nope",)], "term string"), v)
