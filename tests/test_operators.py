@@ -11,6 +11,7 @@ from lodestack.functions import names, times, urls
 from lodestack.operators import documents, evaluation, exports, graph, history, resolution, retrieval, scan, semantic
 from lodestack.operators.components import components
 from lodestack.operators.links import extract_links, url_key
+from lodestack.plans import history as history_plans
 from lodestack.sources import connectors, files, standards
 from lodestack.streaming import events
 
@@ -199,6 +200,20 @@ def test_drift(spark):
     assert rows(history.drift(p, c)) == [("disappearing_evidence", "c", ""), ("removed", "a", ""), ("terminology_change", "a", "n")]
 
 
+def _line_items(spark, folder, items):
+    """Tables of line items (part, order, quantity, shipped) and two parts."""
+    spark.createDataFrame([(p, o, float(q), "N", 0.0, t) for p, o, q, t in items], "l_partkey long, l_orderkey long, l_quantity double, l_returnflag string, l_discount double, l_shipdate string").withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, "bolt", "A", "T"), (2, "nut", "A", "T")], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_drift_of_whole_tables(spark, tmp_path):
+    d = _line_items(spark, tmp_path, [(1, o, 3, "1999-05-05") for o in range(5)] + [(2, 9, 3, "2000-05-05")])
+    q = history_plans.QUERIES
+    assert rows(q["gov_drift"].run(spark, d)) == []
+    assert rows(q["gov_drift_whole"].run(spark, d)) == [("removed", "bolt/A", ""), ("terminology_change", "bolt/A", "nut/A")]
+
+
 def test_changed_triples(spark):
     s = "source string, predicate string, target string"
     known = spark.createDataFrame([("a", "p", "b"), ("c", "p", "d"), ("e", "p", "f")], s)
