@@ -11,6 +11,7 @@ from lodestack.functions import names, times, urls
 from lodestack.operators import documents, evaluation, exports, graph, history, resolution, retrieval, scan, semantic
 from lodestack.operators.components import components
 from lodestack.operators.links import extract_links, url_key
+from lodestack.plans import graph as graph_plans
 from lodestack.plans import history as history_plans
 from lodestack.sources import connectors, files, standards
 from lodestack.streaming import events
@@ -214,6 +215,14 @@ def test_drift_of_whole_tables(spark, tmp_path):
     assert rows(q["gov_drift_whole"].run(spark, d)) == [("removed", "bolt/A", ""), ("terminology_change", "bolt/A", "nut/A")]
 
 
+def test_components_of_whole_tables(spark, tmp_path):
+    d = _line_items(spark, tmp_path, [(1, 1, 3, "1999-05-05"), (1, 2, 3, "1999-05-05"), (2, 3, 3, "1999-05-05")])
+    q = graph_plans.QUERIES
+    assert rows(q["graph_components"].run(spark, d)) == []
+    assert rows(q["graph_components_whole"].run(spark, d)) == [("order/1", "order/1"), ("order/2", "order/1"), ("order/3", "order/3"), ("part/1", "order/1"), ("part/2", "order/3")]
+    assert tuple(q["graph_summary_whole"].run(spark, d).first()) == (5, 3, 0.15, 2)
+
+
 def test_changed_triples(spark):
     s = "source string, predicate string, target string"
     known = spark.createDataFrame([("a", "p", "b"), ("c", "p", "d"), ("e", "p", "f")], s)
