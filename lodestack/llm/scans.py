@@ -1,11 +1,14 @@
 """Repairing text read from scanned pages.
 
-Counts and skip-gram vectors come from all texts. A word is a misreading when plausible glyph edits lead from it to a word many times
-as frequent whose vector suits the neighbours; the edits are tried word by word against a lexicon of bounded size,
-so nothing that grows with the rare words is sent around. Copies and near copies of a text count once where it is asked how often a
-possible misreading was seen, else a text copied often would vouch for its own misreadings. Lines of page furniture are known by form and place.
-The vectors are the leading singular vectors of the positive pointwise mutual information of the skip-gram pairs, which is
-what skip-gram training with negative samples approaches (Levy and Goldberg 2014), found in one pass and the same in each run.
+One pass counts the words of all texts. A second gathers, for the words that matter, their neighbours by place (two words before and
+after), the lines that may be running headers, and what each text will ask about. Skip-gram vectors come from the neighbours: the basis
+words' positive pointwise mutual information with their neighbours is reduced to its leading singular vectors, which is what
+skip-gram training with negative samples approaches (Levy and Goldberg 2014), and every other word is laid into that space by its own neighbours.
+A rare word is linked to a frequent one when a few glyph edits lead there, and the link holds when the vectors are near enough for how
+rare the one is beside the other. A line in the form of a header is furniture when its form repeats in other surroundings.
+
+The most frequent words go to the tasks as a dictionary; whatever else a text asks about comes to it by a join, so the dictionary's size
+changes no result. What the driver fetches is bounded: LEXICON words and at most BASIS * 4 * CONTEXTS counts of 12 bytes (50 MB).
 """
 
 from __future__ import annotations
@@ -17,344 +20,36 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.near_duplicates import near_duplicate_groups
+from lodestack.llm.scan_text import LONGEST, SEEN, WINDOW, Reader, Reading, asked, edits, header_forms, repair
 from lodestack.runtime import cut
 
-#: Words the lexicon holds at most, the most frequent of them that have vectors, and the vectors' length and window.
-LEXICON, VECTORS, DIMENSIONS, WINDOW = 200_000, 4_096, 48, 2
-#: A word is a misreading only of one so many times as frequent; the number of edits tried; the least suiting of neighbours (cosine).
-RATIO, EDITS, SUITS = 100.0, 2, -0.2
-#: Sightings of a misreading that say nothing yet, and what it counts for with fewer.
-CHANCE, LEAST = 2, 0.2
-#: Sightings of a word that are looked at first, and how many times those that would clear it.
-FIRST, TIMES = 64, 4
-#: A joined word must have been seen so often inside lines.
-SEEN = 2
-
-# What is printed -> what scanners read. Symbols first: they never stand inside a word otherwise.
-SYMBOLS = {"0": "o", "1": "li", "5": "s", "6": "b", "9": "g", "@": "a", "†": "t", "!": "il", "|": "li", "$": "s"}
-GLYPHS = {
-    "é": ("e",), "c": ("e",), "e": ("c",), "f": ("t",), "t": ("f",), "b": ("h",), "h": ("b", "li"), "v": ("y",), "i": ("l",), "l": ("i",), "n": ("ri",), "m": ("rn", "in"), "d": ("cl",),
-    "cl": ("d",), "ii": ("u",), "rn": ("m",), "vv": ("w",), "li": ("h",), "ri": ("n",), "in": ("m",),
-}
-# Marks that scanners leave where a word was broken.
-MARKS = "-‐–¬=­"
-
-_TOKEN = re.compile(r"[\w@†!|$]+(?:[-'’][\w@†!|$]+)*")
-_WORD = re.compile(r"\w+(?:[-'’]\w+)*")
-_LETTER = re.compile(r"[^\W\d_]")
-_ENDS = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
-_NUM = r"(?:[0-9OoIl|!]{1,4}|[ivxlcIVXLC]{1,8})"
-_PAGE = re.compile(rf"^(?:[-–—]\s*{_NUM}\s*[-–—]|\[\s*{_NUM}\s*\]|p[.,]\s*{_NUM}|[PpF][a@o][g9q][eécE]\s+\S{{1,5}}(?:\s+\S{{2}}\s+\S{{1,5}})?|[0-9]{{1,4}}|[ivxl]{{1,8}}|[IVXL]{{1,8}})$")
-_BARE = re.compile(r"^(?:[0-9]{1,4}|[ivxl]{1,8}|[IVXL]{1,8})$")
-_PARTS = re.compile(r"\s*(?:\||\t+|\.{3,}|\s{3,})\s*")
-_OTHER = re.compile(r"^\s*(?:#|[*•‣]\s|-\s+\S|\||```|~~~|\d{1,3}(?:\.\d+)*[.)]\s+[^\W\d_]+(?:\s+\w+)?\s*$)")
-_SETTING = re.compile(r"^\w+:\s*\S+(?:\s\S+){0,2}$")
-
-
-class Reader:
-    """The learned model: word counts and vectors."""
-
-    def __init__(self, counts: dict[str, int], vectors: np.ndarray, rows: dict[str, int], own: dict[str, int] | None = None) -> None:
-        """own: sightings without copies, of words where that differs from counts."""
-        self.counts, self.vectors, self.rows, self.own, self.known, self.fine = counts, vectors, rows, own or {}, {}, set()
-
-    def seen(self, word: str) -> int:
-        return self.own.get(word, self.counts.get(word, 0))
-
-    def edits(self, word: str, depth: int = EDITS) -> dict[str, bool]:
-        """Words of the lexicon a few glyph edits away; True: only symbols had to be replaced."""
-        out: dict[str, bool] = {}
-        front = {word: True}
-        for _ in range(depth):
-            new: dict[str, bool] = {}
-            for w, clean in front.items():
-                symbols = [i for i, c in enumerate(w) if c in SYMBOLS]
-                for i in symbols[:1] or range(len(w)):
-                    for n in (1, 2):
-                        part = w[i : i + n]
-                        for to in SYMBOLS.get(part, ()) if symbols else GLYPHS.get(part, ()):
-                            new.setdefault(w[:i] + to + w[i + n :], clean and bool(symbols))
-            for w, clean in new.items():
-                if w in self.counts and w != word:
-                    out[w] = out.get(w, False) or clean
-            front = new
-            if len(word) < 6 and not any(c in SYMBOLS for w in front for c in w):
-                break
-        return out
-
-    def right(self, word: str, own: int) -> dict[str, bool]:
-        """Words that a word with so many sightings is a misreading of."""
-        if len(word) < 2 or not _LETTER.search(word):
-            return {}
-        return {w: sure for w, sure in self.edits(word).items() if self.counts[w] >= (SEEN if sure and own <= CHANCE else RATIO * max(own - CHANCE, LEAST))}
-
-    def contested(self) -> dict[str, float]:
-        """Words that pass for right ones by their sightings alone, and the sightings without copies that would prove it."""
-        out: dict[str, float] = {}
-        for word, n in self.counts.items():
-            if n > CHANCE and (could := self.right(word, 0)) and could != self.right(word, n):
-                out[word] = max(self.counts[w] for w in could) / RATIO + CHANCE
-            elif n >= SEEN and "-" in word and any(self.right(p, 0) for p in word.split("-")):
-                out[word] = SEEN
-        return out
-
-    def suits(self, word: str, near: list[str]) -> float:
-        """Cosine of a word's vector and its neighbours'; 0 when nothing is known of either."""
-        at = [self.rows[w] for w in near if w in self.rows]
-        if word not in self.rows or not at:
-            return 0.0
-        v, c = self.vectors[self.rows[word]], self.vectors[at].sum(axis=0)
-        return float(v @ c / (np.linalg.norm(v) * np.linalg.norm(c) + 1e-9))
-
-    def meant(self, token: str, near: list[str]) -> str | None:
-        """What a misread token should say, in lower case; None when it isn't a misreading."""
-        low = token.lower()
-        if low in self.known:
-            found = self.known[low]
-        else:
-            own = self.seen(low)
-            found = self.right(low, own)
-            if not found and "-" in low and own < SEEN:
-                parts = low.split("-")
-                told = [self.meant(p, []) if p and self.seen(p) < SEEN else None for p in parts]
-                if any(told):
-                    found = {"-".join(t or p for t, p in zip(told, parts, strict=True)): True}
-            if len(self.known) < 200_000:
-                self.known[low] = found
-        if not found:
-            return None
-        best = max(found, key=lambda w: (self.suits(w, near), self.counts.get(w, 0), w)) if len(found) > 1 else next(iter(found))
-        return best if found[best] or self.suits(best, near) >= SUITS else None
-
-    def suspects(self, text: str) -> bool:
-        """Whether any token of the text could be a misreading at all."""
-        fine = self.fine
-        new = [t for t in set(_TOKEN.findall(text)) if t not in fine]
-        bad = [t for t in new if len(t) <= 40 and not t.isdigit() and self._could(t)]
-        if len(fine) < 400_000:
-            fine.update(new if not bad else [t for t in new if t not in bad])
-        return bool(bad)
-
-    def _could(self, token: str) -> bool:
-        plain = token.rstrip("!|")
-        self.meant(token, [])
-        if plain != token and plain.lower() in self.counts:
-            self.meant(plain, [])
-            return bool(self.known.get(plain.lower(), True))
-        return bool(self.known.get(token.lower(), True))
-
-    def joined(self, left: str, mark: str, right: str) -> str | None:
-        """The word that was broken into left and right, or None when they are two words or a compound with its own hyphen."""
-        whole = (left + right).lower()
-        count = self.counts.get(whole, 0)
-        compound = self.counts.get(f"{left}-{right}".lower(), 0)
-        if mark:
-            if compound >= SEEN and compound >= count:
-                return None
-            if count >= SEEN or self.meant(whole, []):
-                return whole
-            if mark in "-‐":
-                return None if compound or (self._word(left) and self._word(right)) or self.meant(f"{left}-{right}".lower(), []) else whole
-            return whole
-        if self._word(left) and self._word(right):
-            return None
-        if count >= SEEN and count > 2 * min(self.counts.get(left.lower(), 0), self.counts.get(right.lower(), 0)):
-            return whole
-        if min(len(left), len(right)) >= 2 and not self._word(left) and not self._word(right) and not self.meant(left, []) and not self.meant(right, []) and self.meant(whole, []):
-            return whole
-        return None
-
-    def _word(self, w: str) -> bool:
-        return self.counts.get(w.lower(), 0) >= SEEN or w.isdigit()
-
-
-def _cased(like: str, word: str) -> str:
-    letters = [c for c in like if c.isalpha()]
-    if len(letters) > 1 and all(c.isupper() for c in letters):
-        return word.upper()
-    return word[:1].upper() + word[1:] if like[:1].isupper() else word
-
-
-def _titled(line: str) -> bool:
-    """A line in the form of a running header: upper case, capitalised words, or parts set off by a slash or dash."""
-    words = line.split()
-    if not words or len(words) > 9 or len(line) > 70 or line[-1] in ".,;:?" or not _LETTER.search(line):
-        return False
-    letters = [c for c in line if c.isalpha()]
-    real = [w for w in words if _LETTER.search(w)]
-    if sum(c.isupper() for c in letters) >= 0.85 * len(letters) and len(words) > 1:
-        return True
-    big = lambda w: not w[:1].islower()
-    if re.search(r"\S\s+[/–—]\s+\S", line) and big(words[0]) and big(re.split(r"\s[/–—]\s", line)[-1].strip()):
-        return True
-    return len(words) > 1 and all(big(w) for w in words) and len(real) >= 1 and (len(real) > 1 or any(w.isdigit() for w in words))
-
-
-def classify(text: str) -> list[tuple[str, str]]:
-    """(kind, line) for each line: blank, text, other (headings, lists, tables, settings), page, header or both."""
-    lines = text.split("\n")
-    kinds = []
-    fenced = False
-    for line in lines:
-        s = line.strip()
-        # Most lines: too long for furniture, or going on in lower case.
-        if not fenced and (len(s) > 70 or (len(s) > 20 and s[0].islower())) and s[0].isalpha() and ":" not in s and "|" not in s and "\t" not in s and "   " not in s and "...." not in s:
-            kinds.append("text")
-            continue
-        if s.startswith(("```", "~~~")):
-            fenced = not fenced
-            kinds.append("other")
-            continue
-        parts = [p for p in _PARTS.split(s) if p] if len(s) <= 100 and ("|" in s or "\t" in s or "   " in s or "..." in s) else [s]
-        if not s:
-            kinds.append("blank")
-        elif fenced:
-            kinds.append("other")
-        elif _PAGE.match(s):
-            kinds.append("page?" if _BARE.match(s) else "page")
-        elif len(parts) == 2 and sum(bool(_PAGE.match(p)) for p in parts) == 1 and _titled(next(p for p in parts if not _PAGE.match(p))):
-            kinds.append("both")
-        elif _OTHER.match(s):
-            kinds.append("other")
-        elif _titled(s):
-            kinds.append("header?")
-        elif len(s.split()) == 1 and not _ENDS.search(s) and s[:1].isupper() and s[-1] not in MARKS:
-            kinds.append("other")
-        elif _SETTING.match(s) and not _ENDS.search(s) and s.islower():
-            kinds.append("other")
-        else:
-            kinds.append("text")
-    solid = [i for i, k in enumerate(kinds) if k != "blank"]
-    maybe = ("page?", "header?", "page", "both")
-    n = 0
-    while n < len(solid):
-        end = n
-        while end < len(solid) and kinds[solid[end]] in maybe:
-            end += 1
-        # Furniture stands behind text and before text or the end, with one bare number at most; more are a column's.
-        group = [solid[m] for m in range(n, end)]
-        ours = n > 0 and kinds[solid[n - 1]] == "text" and (end == len(solid) or kinds[solid[end]] in ("text", "other")) and sum(kinds[i] == "page?" for i in group) < 2
-        for i in group:
-            if kinds[i] == "page?":
-                kinds[i] = "page" if ours else "other"
-            elif kinds[i] == "header?":
-                kinds[i] = "header" if ours else "text" if lines[i].strip()[-1:] in MARKS or kinds[i + 1 : i + 2] == ["text"] else "other"
-        n = max(end, n + 1)
-    return list(zip(kinds, lines, strict=True))
-
-
-def repair(text: str, reader: Reader) -> tuple[set[str], str]:
-    """The kinds of noise found, and the text repaired and reflowed; a text without noise comes back as it is."""
-    noise: set[str] = set()
-    if "\n" not in text and not reader.suspects(text):
-        return noise, text
-    rows = classify(text)
-    kept: list[tuple[str, str]] = []
-    for kind, line in rows:
-        if kind in ("page", "header", "both"):
-            noise |= {"page_no"} if kind == "page" else {"header"} if kind == "header" else {"page_no", "header"}
-            kept.append(("gone", ""))
-        else:
-            kept.append((kind, line))
-    # Blank lines around furniture go with it when the text runs on across them.
-    lines: list[tuple[str, str]] = [] if noise else kept
-    n = 0 if noise else len(kept)
-    while n < len(kept):
-        end = n
-        while end < len(kept) and kept[end][0] in ("gone", "blank"):
-            end += 1
-        if end == n:
-            lines.append(kept[n])
-            n += 1
-            continue
-        if any(k == "gone" for k, _ in kept[n:end]):
-            runs_on = lines and lines[-1][0] == "text" and end < len(kept) and kept[end][0] == "text" and (not _ENDS.search(lines[-1][1].strip()) or not any(k == "blank" for k, _ in kept[n:end]))
-            if not runs_on and any(k == "blank" for k, _ in kept[n:end]):
-                lines.append(("blank", ""))
-        else:
-            lines += kept[n:end]
-        n = end
-    # Words broken over a line end.
-    for n in range(len(lines) - 1):
-        if lines[n][0] == "text" == lines[n + 1][0]:
-            here, there = lines[n][1].rstrip(), lines[n + 1][1].lstrip()
-            last, first = here[here.rfind(" ") + 1 :], there.split(" ", 1)[0]
-            if not last or last[-1] in ".,;:?!)" or (reader._word(last) and reader._word(first.rstrip(".,;:?!)"))):
-                continue
-            left = re.search(rf"([\w@†!|$]+(?:[-'’][\w@†!|$]+)*)([{MARKS}]?)$", here)
-            right = _TOKEN.match(there)
-            if left and right and _LETTER.search(left[1]) and (left[2] or there[:1].islower() or there[:1] in SYMBOLS):
-                whole = reader.joined(left[1], left[2], right[0])
-                known = reader.counts.get(f"{left[1]}-{right[0]}".lower(), 0) >= SEEN
-                if whole is None and not known and right[0].count("-") and (head := right[0].split("-")[0]) and reader.joined(left[1], left[2], head):
-                    whole = (left[1] + right[0]).lower()
-                if whole is None and not known and left[1].count("-") and reader.joined(left[1].rsplit("-", 1)[1], left[2], right[0]):
-                    whole = (left[1] + right[0]).lower()
-                if whole:
-                    noise.add("hyphen")
-                    lines[n] = ("text", here[: left.start()] + left[1] + right[0] + re.match(r"\S*", there[right.end() :])[0])
-                    lines[n + 1] = ("text", there[right.end() :][len(re.match(r"\S*", there[right.end() :])[0]) :].lstrip())
-    # Misread words.
-    fixed: list[tuple[str, str]] = []
-    suspect = reader.suspects("\n".join(line for _, line in lines))
-    if not noise and not suspect:
-        return noise, text
-    for n, (kind, line) in enumerate(lines):
-        if not suspect:
-            fixed = lines
-            break
-        if kind == "other" and not re.match(r"^\s*(?:[*•‣-]|#|\d+[.)])\s", line):
-            fixed.append((kind, line))
-            continue
-        found = list(_TOKEN.finditer(line))
-        words = [m[0].lower() for m in found]
-        out, at = [], 0
-        for k, m in enumerate(found):
-            token = m[0].rstrip("!|") if m[0].rstrip("!|").lower() in reader.counts else m[0]
-            if len(token) > 40 or token.isdigit():
-                continue
-            # Parts of a compound on two lines are no words by themselves.
-            if (k == len(found) - 1 and line[m.end() : m.end() + 1] in tuple(MARKS)) or (k == 0 and n and re.search(rf"\w[{MARKS}]$", lines[n - 1][1].rstrip())):
-                continue
-            meant = reader.meant(token, words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW])
-            if meant and meant != token.lower():
-                noise.add("glyph")
-                out += [line[at : m.start()], _cased(token, meant)]
-                at = m.start() + len(token)
-        fixed.append((kind, "".join(out) + line[at:]))
-    if not noise:
-        return noise, text
-    blocks: list[str] = []
-    before = ""
-    for kind, line in fixed:
-        if kind == "text" and before == "text":
-            if line.strip():
-                blocks[-1] = (blocks[-1].rstrip() + " " + line.strip()).strip()
-        else:
-            blocks.append(line)
-        before = kind
-    return noise, "\n".join(blocks).strip("\n")
-
-
-class _Unknown(dict):
-    """Numbers of known words, -1 for the others."""
-
-    def __missing__(self, word: str) -> int:
-        return -1
+#: Words sent to the tasks at most (the others are joined); words the basis is made of, words that count as neighbours, length of the vectors.
+LEXICON, BASIS, CONTEXTS, DIMENSIONS = 200_000, 2_048, 512, 48
+#: A right word was seen so often at least; a word never seen inside a line is a misreading of any such word, one with symbols of a word seen twice.
+FREQUENT = 20
+#: A misreading scores log10(sightings of the right word / own) + PULL * cosine, and CLEAR more when only symbols stand in the way; it needs SCORE.
+SCORE, PULL, CLEAR = 3.0, 4.0, 1.5
+#: The cosine it needs besides, approached as more neighbours are known; HALF of them give half of it.
+SUITS, HALF = 0.3, 10.0
+#: A header's form stands in so many surroundings at least.
+SURROUNDINGS = 2
+
+_PLACES = tuple(d for d in range(-WINDOW, WINDOW + 1) if d)
+_LINE_OR_WORD = re.compile(r"\n|\w+(?:[-'’]\w+)*")
 
 
-_LINE_OR_WORD = re.compile(r"\n|\w+(?:[-'’]\w+)*")
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _numbered(texts: Iterable[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """The texts' words in lower case by their numbers, which of them stand inside a line (line ends may have broken the first and last), and where each text begins."""
-    words, starts = ["\n"], []
+def _numbered(texts: Iterable[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' words in lower case by their numbers, and which of them stand inside a line (line ends may have broken the first and last)."""
+    words = ["\n"]
     for text in texts:
-        starts.append(len(words))
         words += _LINE_OR_WORD.findall(text.lower())
         words.append("\n")
     ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
@@ -362,114 +57,208 @@ def _numbered(texts: Iterable[str], numbers: dict[str, int]) -> tuple[np.ndarray
     inside = ~ends
     inside[1:] &= ~ends[:-1]
     inside[:-1] &= ~ends[1:]
-    return ids, inside, starts
+    return ids, inside
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         numbers: dict[str, int] = defaultdict(count().__next__)
-        ids, inside, _ = _numbered(frame["text"], numbers)
+        ids, inside = _numbered(frame["text"], numbers)
         n = np.bincount(ids[inside], minlength=len(numbers))
-        yield pd.DataFrame([(w, k) for w, k in zip(numbers, n.tolist(), strict=True) if k and len(w) <= 40], columns=["word", "n"])
+        yield pd.DataFrame([(w, k) for w, k in zip(numbers, n.tolist(), strict=True) if k and len(w) <= LONGEST], columns=["word", "n"])
+
 
+_GATHERED = "kind byte, key long, word string, code int, n long"
+_NEIGHBOURS, _FORM, _ASKED = 1, 2, 3
 
-def _skipgrams(rows: dict[str, int], contested: dict[str, int]):  # noqa: ANN202
-    """Counts of pairs (word, neighbour) within the window, combined per batch, with key 0. Line ends are further apart than the window.
 
-    Also the sightings of contested words (numbered from 0) by text: code is -1 - number, key the text's.
+def _gather(lexicon: dict[str, int], clean: dict[str, int], tracked: set[str], contexts: dict[str, int]):  # noqa: ANN202
+    """Neighbours by place of the tracked words and of those outside the lexicon; header forms with their surroundings; what texts ask about.
+
+    Combined per batch. code: place * CONTEXTS + number of the neighbour.
     """
-    size = len(rows)
-    numbers = _Unknown(rows)
-    numbers["\n"] = -2
-    # Numbers of contested words are those of their rows, or follow them.
-    free = size
-    for w in contested:
-        if w not in rows:
-            numbers[w], free = free, free + 1
-    which = np.full(free + 1, -1, np.int64)
-    for w, k in contested.items():
-        which[numbers[w]] = k
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x, inside, starts = _numbered(frame["text"], numbers)
-            x[~inside] = -1
-            if contested:
-                word = which[x]  # -1 has the last place
-                word[x < 0] = -1
-                at = np.flatnonzero(word >= 0)
-                hits, times = np.unique(np.searchsorted(starts, at, "right") * len(contested) + word[at], return_counts=True)
-                text = hits // len(contested) - 1
-                yield pd.DataFrame({"code": -1 - hits % len(contested), "key": frame["key"].to_numpy()[text], "n": times})
-                x[x >= size] = -1
-            pairs = []
-            for d in range(1, WINDOW + 1):
-                a, b = x[:-d], x[d:]
-                ok = (a >= 0) & (b >= 0)
-                pairs += [a[ok] * size + b[ok], b[ok] * size + a[ok]]
-            code, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pd.DataFrame({"code": code, "key": np.zeros(len(code), np.int64), "n": n})
+            numbers: dict[str, int] = defaultdict(count().__next__)
+            x, inside = _numbered(frame["text"], numbers)
+            words = list(numbers)
+            context = np.array([contexts.get(w, -1) for w in words])[x]
+            context[~inside] = -1
+            ours = np.array([w in tracked or (w not in lexicon and w != "\n" and len(w) <= LONGEST) for w in words])[x] & inside
+            codes = []
+            for place, d in enumerate(_PLACES):
+                a, b = (x[:-d], context[d:]) if d > 0 else (x[-d:], context[:d])
+                ok = (ours[:-d] if d > 0 else ours[-d:]) & (b >= 0)
+                codes.append((a[ok] * len(_PLACES) + place) * CONTEXTS + b[ok])
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            width = len(_PLACES) * CONTEXTS
+            names = np.array(words, object)
+            yield pd.DataFrame({"kind": np.int8(_NEIGHBOURS), "key": np.int64(0), "word": names[code // width], "code": (code % width).astype(np.int32), "n": n})
+            rest = []
+            for key, text in zip(frame["key"].tolist(), frame["text"], strict=True):
+                forms = header_forms(text)
+                rest += [(_ASKED, key, w) for w in asked(text, clean) | {"\n" + form for form, _ in forms}]
+                rest += [(_FORM, _hash(around), "\n" + form) for form, around in forms]
+            out = pd.DataFrame(rest, columns=["kind", "key", "word"]).astype({"kind": np.int8, "key": np.int64, "word": object})
+            yield out.assign(code=np.int32(0), n=np.int64(1))
 
     return run
 
 
-def skipgram_vectors(counts: np.ndarray, dimensions: int) -> np.ndarray:
-    """Vectors from a square matrix of pair counts: its positive PMI, reduced by a randomised SVD with a fixed seed."""
+def skipgram_basis(counts: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of neighbours from counts (basis word, neighbour by place), and each neighbour's smoothed share of all.
+
+    The positive PMI's leading right singular vectors, by a randomised SVD with a fixed seed.
+    """
     total = counts.sum() or 1.0
-    share = counts.sum(axis=1) ** 0.75
-    share /= share.sum() or 1.0
+    share = counts.sum(axis=0) ** 0.75
+    share = share / (share.sum() or 1.0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        pmi = np.log(counts / total) - np.log(counts.sum(axis=1) / total)[:, None] - np.log(share)[None, :]
+        pmi = np.log(counts / total) - np.log(counts.sum(axis=1, keepdims=True) / total) - np.log(share)[None, :]
     pmi = np.where(np.isfinite(pmi), np.maximum(pmi, 0), 0).astype(np.float32)
-    d = min(dimensions, len(pmi))
-    q = np.linalg.qr(pmi @ np.random.default_rng(3).standard_normal((len(pmi), min(len(pmi), d + 16)), np.float32))[0]
+    d = min(dimensions, *pmi.shape)
+    q = np.linalg.qr(pmi @ np.random.default_rng(3).standard_normal((pmi.shape[1], min(*pmi.shape, d + 16)), np.float32))[0]
     for _ in range(3):
         q = np.linalg.qr(pmi @ (pmi.T @ q))[0]
-    u, s, _ = np.linalg.svd(q.T @ pmi, full_matrices=False)
-    return (q @ u)[:, :d] * np.sqrt(s[:d])
+    _, _, vt = np.linalg.svd(q.T @ pmi, full_matrices=False)
+    return vt[:d].T.copy(), share
+
+
+def _vectors(basis: np.ndarray, share: np.ndarray):  # noqa: ANN202
+    """Per word with its list of (code, n): where its neighbours put it (near), its own vector (PMI-weighted), neighbours known, and own sightings.
+
+    Copies of a passage repeat a word's neighbours. Own sightings are those besides the commonest neighbour, at the place where most are left, and one.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            near, vector, known, own = [], [], [], []
+            for at, n in zip(frame["codes"], frame["ns"], strict=True):
+                at, n = np.asarray(at, np.int64), np.asarray(n, np.float64)
+                near.append((n @ basis[at]).astype(np.float32))
+                usual = share[at]
+                pmi = np.where(usual > 0, np.maximum(np.log(n / n.sum()) - np.log(np.where(usual > 0, usual, 1.0)), 0), 0)
+                vector.append((pmi @ basis[at]).astype(np.float32))
+                known.append(int(n.sum()))
+                place = at // CONTEXTS
+                own.append(1 + max(int(n[place == p].sum() - n[place == p].max()) for p in np.unique(place)))
+            yield pd.DataFrame({"word": frame["word"], "near": near, "vector": vector, "known": known, "own": own})
+
+    return run
+
 
+def _spelled(lexicon: dict[str, int], whole: bool):  # noqa: ANN202
+    """The frequent words that a word's glyph edits lead to: word, n, right, m (NULL: outside the lexicon), clear."""
 
-def _without_copies(texts: DataFrame, sightings: DataFrame) -> dict[int, int]:
-    """Sightings of each word, the most in any one text of a group of near copies. texts: key, text. sightings: word, key, n."""
-    groups = near_duplicate_groups(texts.join(sightings.select("key").distinct(), "key", "left_semi"), "key")
-    by_class = sightings.join(groups, "key", "left").groupBy("word", F.coalesce("group_id", "key").alias("class")).agg(F.max("n").alias("n"))
-    return {r.word: r.n for r in by_class.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for w, n in zip(frame["word"], frame["n"].tolist(), strict=True):
+                for to, clear in edits(w).items():
+                    m = lexicon.get(to)
+                    if m is not None or not whole:
+                        out.append((w, n, to, m, clear))
+            yield pd.DataFrame(out, columns=["word", "n", "right", "m", "clear"]).astype({"n": np.int64, "m": "Int64", "clear": bool})
+
+    return run
 
 
-def _own(texts: DataFrame, sightings: DataFrame, words: list[tuple[str, float, int]]) -> dict[str, int]:
-    """Sightings without copies of the contested words (word, sightings that would prove it right, all sightings).
+def _candidates(words: DataFrame, counted: DataFrame, lexicon: dict[str, int], whole: bool) -> DataFrame:
+    """word, n, right, m, clear: glyph edits of the words that are words seen often enough. whole: the lexicon holds all words."""
+    found = words.mapInPandas(_spelled(lexicon, whole), "word string, n long, right string, m long, clear boolean")
+    if not whole:
+        outside = found.where("m IS NULL").drop("m").join(counted.select(F.col("word").alias("right"), F.col("n").alias("m")), "right")
+        found = found.where("m IS NOT NULL").unionByName(outside)
+    enough = (F.col("m") >= FREQUENT) | (F.col("clear") & (F.col("m") >= SEEN))
+    return found.where(enough)
 
-    A sample of a frequent word's texts mostly proves it right; only for words that it doesn't, all texts are grouped.
+
+def _cosine(a: str, b: str) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
+
+
+def _held(spelled: DataFrame, vectors: DataFrame) -> DataFrame:
+    """word, right, vector: the candidates whose vectors bear them out. spelled: of words that were seen inside lines."""
+    here = vectors.select("word", "near", "known", "own")
+    there = vectors.select(F.col("word").alias("right"), "vector")
+    both = spelled.join(here, "word", "left").join(there, "right", "left")
+    cosine, known = _cosine("near", "vector"), F.coalesce("known", F.lit(0))
+    both = both.withColumns({"cosine": cosine, "known": known, "own": F.least("n", F.coalesce("own", F.lit(1)))})
+    long_clear = F.col("clear") & (F.length("word") >= 4)
+    score = F.log10(F.col("m") / F.greatest(F.lit(1), "own")) + PULL * F.col("cosine") + F.when(long_clear, CLEAR).otherwise(0.0)
+    suits = F.col("cosine") >= SUITS * F.col("known") / (F.col("known") + HALF)
+    few = long_clear & (F.col("own") <= SEEN)
+    return both.where(few | ((score >= SCORE) & (long_clear | suits))).select("word", "right", "vector")
+
+
+def learn(texts: DataFrame, lexicon_size: int = LEXICON) -> tuple[dict[str, int], DataFrame, dict[tuple[int, str], np.ndarray]] | None:
+    """What repairing the texts needs; None where they have no words. texts: key (the record's), text; no NULLs.
+
+    The lexicon's sightings; facts (word, n, readings; of a header's form with a line feed before it, its surroundings are n) for each key; vectors of (offset, neighbour).
     """
     spark = texts.sparkSession
-    share = [min(1.0, (FIRST + TIMES * need) / n) for _, need, n in words]
-    shares = spark.createDataFrame(list(enumerate(share)), "word long, share double")
-    first = cut(sightings.join(F.broadcast(shares), "word").where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("word", "key", "n"))
-    own = _without_copies(texts, first)
-    open_ = [i for i, (_, need, _) in enumerate(words) if share[i] < 1 and own.get(i, 0) <= need]
-    if open_:
-        rest = spark.createDataFrame([(i,) for i in open_], "word long")
-        own |= _without_copies(texts, cut(sightings.join(F.broadcast(rest), "word")))
-    return {words[i][0]: n for i, n in own.items() if share[i] == 1 or i in set(open_)}
-
-
-def learn(texts: DataFrame) -> Reader:
-    """The reader of a collection. texts: one column text, without NULLs."""
-    counted = cut(texts.mapInPandas(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    words = counted.orderBy(F.desc("n"), "word").limit(LEXICON).collect()
-    counts = {r.word: r.n for r in words}
-    rows = {r.word: i for i, r in enumerate(words[:VECTORS])}
-    if not rows:
-        return Reader({}, np.zeros((0, 1), np.float32), {})
-    contested = Reader(counts, np.zeros((0, 1), np.float32), {}).contested()
-    keyed = texts.select("text", F.xxhash64("text").alias("key"))
-    # Copies of a text have its key.
-    seen = cut(keyed.mapInPandas(_skipgrams(rows, {w: i for i, w in enumerate(contested)}), "code long, key long, n long").groupBy("code", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most")))
-    pairs = seen.where("code >= 0").select("code", "n").toPandas()
-    own = _own(keyed, seen.where("code < 0").select((-1 - F.col("code")).alias("word"), "key", F.col("most").alias("n")), [(w, need, counts[w]) for w, need in contested.items()]) if contested else {}
-    matrix = np.zeros(len(rows) ** 2, np.float32)
-    matrix[pairs["code"].to_numpy()] = pairs["n"].to_numpy()
-    return Reader(counts, skipgram_vectors(matrix.reshape(len(rows), -1), DIMENSIONS), rows, own)
+    counted = cut(texts.select("text").mapInPandas(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    top = counted.orderBy(F.desc("n"), "word").limit(max(lexicon_size + 1, BASIS)).collect()
+    if not top:
+        return None
+    lexicon, whole = {r.word: r.n for r in top[:lexicon_size]}, len(top) <= lexicon_size
+    basis = {r.word: i for i, r in enumerate(top[:BASIS])}
+    contexts = {r.word: i for i, r in enumerate(top[:CONTEXTS])}
+    spelled = cut(_candidates(counted, counted, lexicon, whole))
+    linked = {r.word for r in spelled.where(F.col("n") >= min(lexicon.values())).select("word").distinct().collect()} & lexicon.keys()
+    listed = spark.createDataFrame([(w,) for w in lexicon], "right string")
+    rights = {r.right for r in listed.join(spelled, "right", "left_semi").collect()}
+    clean = {w: n for w, n in lexicon.items() if w not in linked}
+    gathered = texts.mapInPandas(_gather(lexicon, clean, basis.keys() | linked | rights, contexts), _GATHERED)
+    gathered = cut(gathered.groupBy("kind", "key", "word", "code").agg(F.sum("n").alias("n")))
+
+    neighbours = gathered.where(F.col("kind") == _NEIGHBOURS).select("word", "code", "n")
+    index = spark.createDataFrame(list(basis.items()), "word string, i int")
+    cells = neighbours.join(F.broadcast(index), "word").select("i", "code", F.col("n").cast("int").alias("n")).toArrow()
+    matrix = np.zeros((len(basis), len(_PLACES) * CONTEXTS), np.float32)
+    matrix[cells["i"].to_numpy(), cells["code"].to_numpy()] = cells["n"].to_numpy()
+    projection, share = skipgram_basis(matrix, DIMENSIONS)
+    needed = spelled.select("word").union(spelled.select("right")).distinct()
+    # A word has at most as many codes as there are places and neighbours.
+    by_word = neighbours.join(needed, "word", "left_semi").groupBy("word").agg(F.collect_list("code").alias("codes"), F.collect_list(F.col("n").cast("double")).alias("ns"))
+    held = _held(spelled, cut(by_word.mapInPandas(_vectors(projection, share), "word string, near array<float>, vector array<float>, known long, own long")))
+
+    asks = gathered.where(F.col("kind") == _ASKED).select("key", "word")
+    # Of words never seen inside a line the spelling decides.
+    unseen = asks.where(~F.col("word").startswith("\n")).select("word").distinct().join(counted, "word", "left_anti").withColumn("n", F.lit(0).cast("long"))
+    guessed = _candidates(unseen, counted, lexicon, whole).select("word", "right", F.lit(None).cast("array<float>").alias("vector"))
+    readings = held.unionByName(guessed).groupBy("word").agg(F.array_sort(F.collect_set(F.struct("right", "vector"))).alias("readings"))
+    readings = readings.withColumn("readings", F.transform("readings", lambda r: F.struct(r["right"].alias("right"), F.when(F.size("readings") > 1, r["vector"]).alias("vector"))))
+    forms = gathered.where(F.col("kind") == _FORM).groupBy("word").agg(F.count("*").alias("n"), F.lit(None).cast(readings.schema["readings"].dataType).alias("readings")).where(F.col("n") >= SURROUNDINGS)
+    known = counted.join(readings, "word", "full_outer").select("word", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "readings").unionByName(forms)
+    facts = asks.join(known, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n", "readings")).alias("facts"))
+    return lexicon, facts, {(d, w): projection[k * CONTEXTS + i] for k, d in enumerate(_PLACES) for w, i in contexts.items()}
+
+
+class _Counts(dict):
+    """Sightings from a text's facts, over the lexicon's."""
+
+    def __init__(self, facts: dict[str, int], lexicon: dict[str, int]) -> None:
+        super().__init__(facts)
+        self.lexicon = lexicon
+
+    def get(self, word: str, default: int = 0) -> int:
+        return super().get(word) or self.lexicon.get(word, default)
+
+
+def reader_of(facts, lexicon: dict[str, int], places: dict[tuple[int, str], np.ndarray]) -> Reader:  # noqa: ANN001
+    """The reader for one text, from its facts (rows of word, n, readings) or None."""
+    counts, readings, running = {}, {}, {}
+    for f in facts if facts is not None else ():
+        if f["word"][0] == "\n":
+            running[f["word"][1:]] = True
+            continue
+        counts[f["word"]] = f["n"]
+        if f["readings"] is not None and len(f["readings"]):
+            readings[f["word"]] = [Reading(r["right"], None if r["vector"] is None else np.asarray(r["vector"], np.float32)) for r in f["readings"]]
+    return Reader(_Counts(counts, lexicon), readings, running, places)
 
 
 def records(work_items: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -479,20 +268,25 @@ def records(work_items: DataFrame, evidence: DataFrame) -> DataFrame:
     return a.unionByName(b).where(F.col("text").isNotNull() & F.col("rec_key").isNotNull())
 
 
-def repaired(recs: DataFrame) -> DataFrame:
+def repaired(recs: DataFrame, lexicon_size: int = LEXICON) -> DataFrame:
     """rec_table, rec_key, noise (sorted array of hyphen, glyph, header, page_no) and the repaired text of each record.
 
-    The collection itself is what the reader learns from. Texts without noise come back unchanged with an empty array, blank ones
-    too. Repeated rows give repeated rows. Empty input gives no rows.
+    The collection itself is what the model is learned from. Texts without noise come back unchanged with an empty array, blank ones
+    too. Repeated rows give repeated rows. Empty input gives no rows. Runs of more than 40 characters are no words and stay as they are.
     """
-    reader = learn(recs.select("text"))
+    out = "rec_table string, rec_key string, noise array<string>, text string"
+    keyed = recs.withColumn("key", F.xxhash64("rec_table", "rec_key", "text"))
+    learned = learn(keyed.select("key", "text"), lexicon_size)
+    if learned is None:
+        return recs.select("rec_table", "rec_key", F.array().cast("array<string>").alias("noise"), "text")
+    lexicon, facts, places = learned
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = [repair(x, reader) for x in frame["text"]]
+            done = [repair(x, reader_of(f, lexicon, places)) for x, f in zip(frame["text"], frame["facts"], strict=True)]
             yield pd.DataFrame({"rec_table": frame["rec_table"], "rec_key": frame["rec_key"], "noise": [sorted(n) for n, _ in done], "text": [x for _, x in done]})
 
-    return recs.mapInPandas(run, "rec_table string, rec_key string, noise array<string>, text string")
+    return keyed.join(facts, "key", "left").select("rec_table", "rec_key", "text", "facts").mapInPandas(run, out)
 
 
 def found_noise(recs: DataFrame) -> DataFrame:

@@ -1,19 +1,29 @@
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 
+from lodestack.llm import scan_text as T
 from lodestack.llm import scans as S
 
 BODY = "the registry staff must update the control library before the annual review and the board may report every gap in the evidence log"
 
 
 @pytest.fixture(scope="module")
-def reader():
+def counts():
     text = "\n".join([BODY + " with the off-peak charge of the internal audit"] * 60)
-    import pandas as pd
+    return {r.word: int(r.n) for r in next(S._counted(iter([pd.DataFrame({"text": [text]})]))).itertuples()}
 
-    counts = {r.word: int(r.n) for r in next(S._counted(iter([pd.DataFrame({"text": [text]})]))).itertuples()}
-    return S.Reader(counts, np.zeros((0, 1), np.float32), {})
+
+def reader_for(text, counts, running=()):
+    """Knows of the text only what it asks for."""
+    words = T.asked(text, {})
+    found = {w: [T.Reading(to) for to, clear in T.edits(w).items() if counts.get(to, 0) >= (2 if clear else 20)] for w in words if w not in counts}
+    return T.Reader({w: n for w, n in counts.items() if w in words}, {w: r for w, r in found.items() if r}, {T.form_of(x): True for x in running})
+
+
+def repair(text, counts, running=()):
+    return T.repair(text, reader_for(text, counts, running))
 
 
 @pytest.mark.parametrize(
@@ -33,25 +43,71 @@ def reader():
         ("  \n ", set(), None),
     ],
 )
-def test_repair(reader, text, noise, clean):
-    found, out = S.repair(text, reader)
+def test_repair(counts, text, noise, clean):
+    found, out = repair(text, counts, ["Nordkist / Findings", "AUDIT GROUP – REVIEW"])
     assert found == noise
     assert out == (text if clean is None else clean)
 
 
-def test_repair_of_a_repair(reader):
+def test_repair_of_a_repair(counts):
     text = "the reg1stry staff must upd-\nate the\nNordkist / Findings\ncontrol library"
-    once = S.repair(text, reader)[1]
-    assert S.repair(once, reader) == (set(), once)
+    once = repair(text, counts, ["Nordkist / Findings"])[1]
+    assert repair(once, counts, ["Nordkist / Findings"]) == (set(), once)
+
+
+def test_a_line_of_capitals_is_text_unless_its_form_repeats(counts):
+    text = "the board may report every gap in the name of the\nUnited Nations Security Council\nbefore the annual review of the control library"
+    assert repair(text, counts) == (set(), text)
+    assert repair(text, counts, ["united nations security council"])[0] == {"header"}
+    assert repair(text.replace("\nUnited", "\n- 7 -\nUnited"), counts)[0] == {"header", "page_no"}
+
+
+def test_forms_fold_numbers_and_glyphs():
+    assert T.form_of("Chapter 3  Risk register") == T.form_of("CHAPFER 12  Rlsk rcgister")
+    assert T.form_of("Nordkist / Roles") != T.form_of("Nordkist / Scope")
+    page = "one line of text runs to here and\nNordkist / Roles\n{} goes on there to the end of it all"
+    assert {a for _, a in T.header_forms(page.format("this"))} != {a for _, a in T.header_forms(page.format("that"))}
+
+
+def test_neighbours_tell_words_apart(monkeypatch):
+    """Words 0 and 1 share their neighbours, word 2 has others; a rare word lies by whom it shares them with."""
+    monkeypatch.setattr(S, "CONTEXTS", 4)
+    n = np.zeros((3, 16), np.float32)
+    n[0, [0, 5]] = n[1, [0, 5]] = n[2, [2, 7]] = 50
+    basis, share = S.skipgram_basis(n, 2)
+    told = next(S._vectors(basis, share)(iter([pd.DataFrame({"word": ["a", "b", "rare"], "codes": [[0, 5], [2, 7], [0, 5]], "ns": [[50.0, 50.0], [50.0, 50.0], [1.0, 1.0]]})])))
+    cos = lambda x, y: float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+    assert cos(told.near[2], told.vector[0]) > 0.9 and abs(cos(told.near[2], told.vector[1])) < 0.1
+
+
+def test_own_sightings_leave_copies_out():
+    at, n = [0, 1, 2 * S.CONTEXTS, 2 * S.CONTEXTS + 1], [1000.0, 1.0, 999.0, 2.0]
+    flat = [0, 1, 2, 3], [5.0, 5.0, 5.0, 5.0]
+    told = next(S._vectors(np.ones((4 * S.CONTEXTS, 2)), np.full(4 * S.CONTEXTS, 1e-4))(iter([pd.DataFrame({"word": ["copied", "free"], "codes": [at, flat[0]], "ns": [n, flat[1]]})])))
+    assert told.own.tolist() == [3, 16]
+
+
+def corpus(spark):
+    """A word of its own that looks like a misreading of a frequent one, and a misreading, each seen as often."""
+    lines = [f"the registry staff of unit {i} must cross the water under the bridge and swim the water near the shore" for i in range(300)]
+    lines += [f"the registry staff of unit {i} must cross the wafer under the bridge and swim far" for i in range(2)] + [f"clerks eat one sweet wafer with ice for {i} coins every day" for i in range(40)]
+    return spark.createDataFrame([(f"w{i}", x) for i, x in enumerate(lines)], "artifact_dir string, text string"), spark.createDataFrame([("e", 1)], "quote string, id long").limit(0)
+
+
+def test_a_word_with_neighbours_of_its_own_is_no_misreading(spark):
+    w, e = corpus(spark)
+    assert rows(S.found_noise(S.records(w, e))) == []
+    few = w.where("text NOT LIKE 'clerks%'")
+    assert rows(S.found_noise(S.records(few, e)).select("noise").distinct()) == [("glyph",)]
 
 
-def test_vectors_tell_contexts_apart():
-    n = np.zeros((6, 6), np.float32)
-    for a, b in ((0, 2), (1, 2), (3, 5), (4, 5)):
-        n[a, b] = n[b, a] = 50
-    v = S.skipgram_vectors(n, 3)
-    cos = lambda a, b: float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))
-    assert cos(0, 1) > 0.9 and abs(cos(0, 3)) < 0.1
+def test_the_lexicon_changes_no_result(spark):
+    w, e = corpus(spark)
+    scan = spark.createDataFrame([(f"s{i}", f"the regi-\nstry staff of unit {i} must cr0ss the wa-\nter undcr the bridge") for i in range(9)], "artifact_dir string, text string")
+    recs = S.records(w.unionByName(scan), e)
+    few = S.repaired(recs, lexicon_size=8)
+    assert rows(few) == rows(S.repaired(recs))
+    assert rows(few.where("rec_key LIKE 's%'").select("noise", "text").distinct())[0] == (["glyph", "hyphen"], "the registry staff of unit 0 must cross the water under the bridge")
 
 
 def test_records(spark):
