@@ -7,7 +7,7 @@ headers) comes through a Reader; `asked` lists everything that `repair` may ask
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +30,8 @@ MARKS = "-‐–¬=­"
 
 _TOKEN = re.compile(r"[\w@†!|$]+(?:[-'’][\w@†!|$]+)*")
 _WORD = re.compile(r"\w+(?:[-'’]\w+)*")
+_LINE_OR_TOKEN = re.compile(r"\n|[\w@†!|$]+(?:[-'’][\w@†!|$]+)*")
+_SYMBOL = re.compile(r"[@†!|$]")
 _LETTER = re.compile(r"[^\W\d_]")
 _ENDS = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
 _NUM = r"(?:[0-9OoIl|!]{1,4}|[ivxlcIVXLC]{1,8})"
@@ -75,14 +77,29 @@ def edits(word: str, depth: int = EDITS) -> dict[str, bool]:
 class Reader:
     """What the collection says about the words of a text.
 
-    counts: sightings inside lines. readings: of misread words. running: whether a line in the form of a header is one. places: vectors of (offset, neighbour).
+    common, told: sightings inside lines, and readings of misread words, among the words known to all texts; counts, readings: of this text's other words.
+    running: whether a line in the form of a header is one. places: vectors of (offset, neighbour). fine: common tokens found to be no misreadings, kept between texts.
     """
 
-    def __init__(self, counts: Mapping[str, int], readings: Mapping[str, list[Reading]], running: Mapping[str, bool], places: Mapping[tuple[int, str], np.ndarray] | None = None) -> None:
-        self.counts, self.readings, self.running, self.places = counts, readings, running, places or {}
+    def __init__(self, common: Mapping[str, int], told: Mapping[str, list[Reading]], places: Mapping[tuple[int, str], np.ndarray] | None = None) -> None:
+        self.common, self.told, self.places, self.fine = common, told, places or {}, set()
+        self.of(())
+
+    def of(self, facts: Iterable[Mapping]) -> Reader:
+        """Set to a text's facts: word, n, readings (right, vector); of a header's form, a line feed stands before it."""
+        self.counts, self.readings, self.running = {}, {}, {}
+        for f in facts:
+            word, readings = f["word"], f["readings"]
+            if word[0] == "\n":
+                self.running[word[1:]] = True
+            else:
+                self.counts[word] = f["n"]
+                if readings is not None and len(readings):
+                    self.readings[word] = [Reading(r["right"], None if r["vector"] is None else np.asarray(r["vector"], np.float32)) for r in readings]
+        return self
 
     def seen(self, word: str) -> int:
-        return self.counts.get(word, 0)
+        return self.common.get(word) or self.counts.get(word, 0)
 
     def suits(self, vector: np.ndarray, near: list[tuple[int, str]]) -> float:
         """How much likelier than by chance the neighbours are beside the word of that vector (nats)."""
@@ -91,7 +108,7 @@ class Reader:
     def meant(self, token: str, near: list[tuple[int, str]]) -> str | None:
         """What a misread token should say, in lower case; None when it isn't a misreading. near: offset and word of its neighbours."""
         low = token.lower()
-        found = self.readings.get(low)
+        found = self.told.get(low) or self.readings.get(low)
         if not found:
             if "-" not in low or self.seen(low) >= SEEN:
                 return None
@@ -108,7 +125,10 @@ class Reader:
 
     def suspects(self, text: str) -> bool:
         """Whether any token of the text could be a misreading at all."""
-        return bool(self.readings) and any(len(t) <= LONGEST and not t.isdigit() and self.could(t) for t in set(_TOKEN.findall(text)))
+        new = set(tokens_of(text)) - self.fine
+        bad = {t for t in new if len(t) <= LONGEST and not t.isdigit() and self.could(t)}
+        self.fine |= {t for t in new - bad if t in self.common} if len(self.fine) < 400_000 else set()
+        return bool(bad)
 
     def joined(self, left: str, mark: str, right: str) -> str | None:
         """The word that was broken into left and right, or None when they are two words or a compound with its own hyphen."""
@@ -139,7 +159,7 @@ class Reader:
 _FOLDS = str.maketrans({"é": "e", "c": "e", "t": "f", "†": "f", "b": "h", "6": "h", "v": "y", "l": "i", "1": "i", "!": "i", "|": "i", "#": "?", "0": "o", "5": "s", "$": "s", "9": "g", "@": "a"})
 _PAIRS = {"rn": "m", "in": "m", "ri": "n", "ei": "d", "yy": "w", "ii": "u"}
 _PAIR = re.compile("|".join(_PAIRS))
-_SPLIT = re.compile(r"\s+[/–—|-]\s+|\s{2,}|\s(?=\?\d)|(?<=\?\d)\s")
+_SPLIT = re.compile(r"\s+[/–—|-]\s+|\s{2,}|\t|\s(?=\?\d)|(?<=\?\d)\s")
 
 
 def form_of(line: str) -> str:
@@ -212,7 +232,7 @@ def outline(text: str) -> tuple[list[str], list[str]]:
     return kinds, lines
 
 
-_MAYBE = ("page?", "header?", "page", "both")
+_MAYBE = frozenset(("page?", "header?", "page", "both"))
 
 
 def _groups(kinds: list[str]) -> list[tuple[list[int], bool]]:
@@ -245,7 +265,7 @@ def classify(text: str, running: Mapping[str, bool]) -> list[tuple[str, str]]:
     """(kind, line) for each line: blank, text, other, page, header or both. A line in the form of a header is one where its form
     repeats between other lines of the collection, or where it stands beside a page number."""
     kinds, lines = outline(text)
-    for group, ours in _groups(kinds):
+    for group, ours in _groups(kinds) if not _MAYBE.isdisjoint(kinds) else ():
         paged = any(kinds[i] in ("page", "both") for i in group)
         for i in group:
             if kinds[i] == "page?":
@@ -258,13 +278,10 @@ def classify(text: str, running: Mapping[str, bool]) -> list[tuple[str, str]]:
     return list(zip(kinds, lines, strict=True))
 
 
-def header_forms(text: str) -> list[tuple[str, str]]:
+def header_forms(kinds: list[str], lines: list[str]) -> list[tuple[str, str]]:
     """(form, surroundings) of the lines that may be running headers, and of their parts. Lines with the same neighbours are copies."""
-    if "\n" not in text:
-        return []
-    kinds, lines = outline(text)
     out = []
-    for group, ours in _groups(kinds):
+    for group, ours in _groups(kinds) if not _MAYBE.isdisjoint(kinds) else ():
         if ours:
             after = next((lines[i] for i in range(group[-1] + 1, len(lines)) if kinds[i] != "blank"), "")
             before = next(lines[i] for i in range(group[0] - 1, -1, -1) if kinds[i] != "blank")
@@ -289,34 +306,47 @@ def _breaks(here: str, there: str) -> tuple[re.Match, re.Match] | None:
     return None
 
 
-def asked(text: str, clean: Mapping[str, int]) -> set[str]:
-    """Words whose sightings and readings `repair` may ask for, but those in clean."""
-    tokens = {t.lower() for t in set(_TOKEN.findall(text))}
-    if "\n" in text:
-        kinds, lines = outline(text)
-        for i, kind in enumerate(kinds):
-            if kind in ("text", "header?"):
-                # Furniture and blank lines may fall out between the halves.
-                for j in range(i + 1, len(kinds)):
-                    if kinds[j] in ("text", "header?"):
-                        here, there = lines[i].rstrip(), lines[j].lstrip()
-                        if halves := _breaks(here, there):
-                            left, right = halves[0][1].lower(), halves[1][0].lower()
-                            tokens |= {left, right, here[here.rfind(" ") + 1 :].lower(), there.split(" ", 1)[0].rstrip(".,;:?!)").lower(), left + right, f"{left}-{right}"}
-                            rest = re.match(r"\S*", there[halves[1].end() :])[0]
-                            if rest:
-                                tokens |= {t.lower() for t in _TOKEN.findall(left + right + rest)}
+def tokens_of(text: str) -> list[str]:
+    """Tokens in lower case, with line feeds between those of different lines."""
+    return _LINE_OR_TOKEN.findall(text.lower())
+
+
+def word_of(token: str) -> str | None:
+    """The word that a token is, symbols around it left out; None when symbols stand inside it or it is too long for a word."""
+    if not _SYMBOL.search(token):
+        return token if len(token) <= LONGEST else None
+    token = token.strip("@†!|$-'’")
+    return token if token and len(token) <= LONGEST and not _SYMBOL.search(token) else None
+
+
+def asked(tokens: set[str], kinds: list[str], lines: list[str], lexicon: Mapping[str, int]) -> set[str]:
+    """Words outside the lexicon whose sightings and readings `repair` may ask for. tokens: the text's; kinds, lines: its outline."""
+    out = {t for t in tokens if t not in lexicon}
+    for i, kind in enumerate(kinds[:-1]):
+        if kind in ("text", "header?"):
+            # Furniture and blank lines may fall out between the halves.
+            for j in range(i + 1, len(kinds)):
+                if kinds[j] in ("text", "header?"):
+                    here, there = lines[i].rstrip(), lines[j].lstrip()
+                    # Two words, as for most line ends.
+                    if lexicon.get(here[here.rfind(" ") + 1 :].lower(), 0) >= SEEN and lexicon.get(there.split(" ", 1)[0].rstrip(".,;:?!)").lower(), 0) >= SEEN:
+                        pass
+                    elif halves := _breaks(here, there):
+                        left, right = halves[0][1].lower(), halves[1][0].lower()
+                        out |= {left, right, left + right, f"{left}-{right}"}
+                        if rest := re.match(r"\S*", there[halves[1].end() :])[0]:
+                            out |= {t.lower() for t in _TOKEN.findall(left + right + rest)}
+                        if "-" in left or "-" in right:
                             head, tail = right.split("-")[0], left.rsplit("-", 1)[-1]
-                            tokens |= {left + head, f"{left}-{head}", tail + right, f"{tail}-{right}", head, tail}
-                    if kinds[j] not in ("blank", *_MAYBE):
-                        break
-    tokens -= clean.keys()
-    for t in list(tokens):
-        if t[-1] in "!|":
-            tokens.add(t.rstrip("!|"))
+                            out |= {left + head, f"{left}-{head}", tail + right, f"{tail}-{right}", head, tail}
+                if kinds[j] != "blank" and kinds[j] not in _MAYBE:
+                    break
+    for t in list(out):
+        if t[-1:] in "!|":
+            out.add(t.rstrip("!|"))
         if "-" in t:
-            tokens.update(t.split("-"))
-    return {t for t in tokens if t and t not in clean and len(t) <= 2 * LONGEST and not t.isdigit()}
+            out.update(t.split("-"))
+    return {t for t in out if t and t not in lexicon and len(t) <= 2 * LONGEST and t != "\n" and not t.isdigit()}
 
 
 def repair(text: str, reader: Reader) -> tuple[set[str], str]:

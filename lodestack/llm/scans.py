@@ -13,7 +13,6 @@ changes no result. What the driver fetches is bounded: LEXICON words and at most
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import count
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.scan_text import LONGEST, SEEN, WINDOW, Reader, Reading, asked, edits, header_forms, repair
+from lodestack.llm.scan_text import SEEN, WINDOW, Reader, Reading, asked, edits, header_forms, outline, repair, tokens_of, word_of
 from lodestack.runtime import cut
 
 #: Words sent to the tasks at most (the others are joined); words the basis is made of, words that count as neighbours, length of the vectors.
@@ -39,66 +38,64 @@ SUITS, HALF = 0.3, 10.0
 SURROUNDINGS = 2
 
 _PLACES = tuple(d for d in range(-WINDOW, WINDOW + 1) if d)
-_LINE_OR_WORD = re.compile(r"\n|\w+(?:[-'’]\w+)*")
-
-
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _numbered(texts: Iterable[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' words in lower case by their numbers, and which of them stand inside a line (line ends may have broken the first and last)."""
-    words = ["\n"]
-    for text in texts:
-        words += _LINE_OR_WORD.findall(text.lower())
-        words.append("\n")
-    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    ends = ids == numbers["\n"]
+def _numbered(texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+    """The tokens of all texts by number, which of them stand inside a line (line ends may have broken the first and last), and the words by number."""
+    flat = ["\n"]
+    for tokens in texts:
+        flat += tokens
+        flat.append("\n")
+    numbers: dict[str, int] = defaultdict(count().__next__)
+    ids = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+    words: dict[str | None, int] = defaultdict(count().__next__)
+    x = np.array([words[word_of(t)] for t in numbers])[ids]
+    ends = x == words["\n"]
     inside = ~ends
     inside[1:] &= ~ends[:-1]
     inside[:-1] &= ~ends[1:]
-    return ids, inside
+    return x, inside, list(words)
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        numbers: dict[str, int] = defaultdict(count().__next__)
-        ids, inside = _numbered(frame["text"], numbers)
-        n = np.bincount(ids[inside], minlength=len(numbers))
-        yield pd.DataFrame([(w, k) for w, k in zip(numbers, n.tolist(), strict=True) if k and len(w) <= LONGEST], columns=["word", "n"])
+        x, inside, words = _numbered(map(tokens_of, frame["text"]))
+        n = np.bincount(x[inside], minlength=len(words))
+        yield pd.DataFrame([(w, k) for w, k in zip(words, n.tolist(), strict=True) if k and w], columns=["word", "n"])
 
 
 _GATHERED = "kind byte, key long, word string, code int, n long"
 _NEIGHBOURS, _FORM, _ASKED = 1, 2, 3
 
 
-def _gather(lexicon: dict[str, int], clean: dict[str, int], tracked: set[str], contexts: dict[str, int]):  # noqa: ANN202
+def _gather(lexicon: dict[str, int], tracked: set[str], contexts: dict[str, int]):  # noqa: ANN202
     """Neighbours by place of the tracked words and of those outside the lexicon; header forms with their surroundings; what texts ask about.
 
     Combined per batch. code: place * CONTEXTS + number of the neighbour.
     """
+    width = len(_PLACES) * CONTEXTS
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            numbers: dict[str, int] = defaultdict(count().__next__)
-            x, inside = _numbered(frame["text"], numbers)
-            words = list(numbers)
+            tokens = [tokens_of(t) for t in frame["text"]]
+            x, inside, words = _numbered(tokens)
             context = np.array([contexts.get(w, -1) for w in words])[x]
             context[~inside] = -1
-            ours = np.array([w in tracked or (w not in lexicon and w != "\n" and len(w) <= LONGEST) for w in words])[x] & inside
+            ours = np.array([w is not None and w != "\n" and (w in tracked or w not in lexicon) for w in words])[x] & inside
             codes = []
             for place, d in enumerate(_PLACES):
                 a, b = (x[:-d], context[d:]) if d > 0 else (x[-d:], context[:d])
                 ok = (ours[:-d] if d > 0 else ours[-d:]) & (b >= 0)
                 codes.append((a[ok] * len(_PLACES) + place) * CONTEXTS + b[ok])
             code, n = np.unique(np.concatenate(codes), return_counts=True)
-            width = len(_PLACES) * CONTEXTS
-            names = np.array(words, object)
-            yield pd.DataFrame({"kind": np.int8(_NEIGHBOURS), "key": np.int64(0), "word": names[code // width], "code": (code % width).astype(np.int32), "n": n})
+            yield pd.DataFrame({"kind": np.int8(_NEIGHBOURS), "key": np.int64(0), "word": np.array(words, object)[code // width], "code": (code % width).astype(np.int32), "n": n})
             rest = []
-            for key, text in zip(frame["key"].tolist(), frame["text"], strict=True):
-                forms = header_forms(text)
-                rest += [(_ASKED, key, w) for w in asked(text, clean) | {"\n" + form for form, _ in forms}]
+            for key, text, own in zip(frame["key"].tolist(), frame["text"], tokens, strict=True):
+                kinds, lines = outline(text) if "\n" in text else ([], [])
+                forms = header_forms(kinds, lines)
+                rest += [(_ASKED, key, w) for w in asked(set(own), kinds, lines, lexicon) | {"\n" + form for form, _ in forms}]
                 rest += [(_FORM, _hash(around), "\n" + form) for form, around in forms]
             out = pd.DataFrame(rest, columns=["kind", "key", "word"]).astype({"kind": np.int8, "key": np.int64, "word": object})
             yield out.assign(code=np.int32(0), n=np.int64(1))
@@ -182,7 +179,7 @@ def _cosine(a: str, b: str) -> Column:
 def _held(spelled: DataFrame, vectors: DataFrame) -> DataFrame:
     """word, right, vector: the candidates whose vectors bear them out. spelled: of words that were seen inside lines."""
     here = vectors.select("word", "near", "known", "own")
-    there = vectors.select(F.col("word").alias("right"), "vector")
+    there = vectors.select(F.col("word").alias("right"), "vector", F.col("own").alias("right_own"))
     both = spelled.join(here, "word", "left").join(there, "right", "left")
     cosine, known = _cosine("near", "vector"), F.coalesce("known", F.lit(0))
     both = both.withColumns({"cosine": cosine, "known": known, "own": F.least("n", F.coalesce("own", F.lit(1)))})
@@ -190,13 +187,14 @@ def _held(spelled: DataFrame, vectors: DataFrame) -> DataFrame:
     score = F.log10(F.col("m") / F.greatest(F.lit(1), "own")) + PULL * F.col("cosine") + F.when(long_clear, CLEAR).otherwise(0.0)
     suits = F.col("cosine") >= SUITS * F.col("known") / (F.col("known") + HALF)
     few = long_clear & (F.col("own") <= SEEN)
-    return both.where(few | ((score >= SCORE) & (long_clear | suits))).select("word", "right", "vector")
-
+    # The right word is the better seen one, copies left out; of those as well seen it is the more frequent.
+    order = F.struct(F.least("m", F.coalesce("right_own", F.lit(1))), "m") >= F.struct("own", "n")
+    return both.where(order & (few | ((score >= SCORE) & (long_clear | suits)))).select("word", "right", "vector")
 
-def learn(texts: DataFrame, lexicon_size: int = LEXICON) -> tuple[dict[str, int], DataFrame, dict[tuple[int, str], np.ndarray]] | None:
-    """What repairing the texts needs; None where they have no words. texts: key (the record's), text; no NULLs.
 
-    The lexicon's sightings; facts (word, n, readings; of a header's form with a line feed before it, its surroundings are n) for each key; vectors of (offset, neighbour).
+def learn(texts: DataFrame, lexicon_size: int = LEXICON) -> tuple[Reader, DataFrame] | None:
+    """What repairing the texts needs: a reader that knows the lexicon, and for each key the facts it has to be set to. texts: key
+    (the record's), text; no NULLs. None where they have no words.
     """
     spark = texts.sparkSession
     counted = cut(texts.select("text").mapInPandas(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -210,8 +208,7 @@ def learn(texts: DataFrame, lexicon_size: int = LEXICON) -> tuple[dict[str, int]
     linked = {r.word for r in spelled.where(F.col("n") >= min(lexicon.values())).select("word").distinct().collect()} & lexicon.keys()
     listed = spark.createDataFrame([(w,) for w in lexicon], "right string")
     rights = {r.right for r in listed.join(spelled, "right", "left_semi").collect()}
-    clean = {w: n for w, n in lexicon.items() if w not in linked}
-    gathered = texts.mapInPandas(_gather(lexicon, clean, basis.keys() | linked | rights, contexts), _GATHERED)
+    gathered = texts.mapInPandas(_gather(lexicon, basis.keys() | linked | rights, contexts), _GATHERED)
     gathered = cut(gathered.groupBy("kind", "key", "word", "code").agg(F.sum("n").alias("n")))
 
     neighbours = gathered.where(F.col("kind") == _NEIGHBOURS).select("word", "code", "n")
@@ -230,35 +227,16 @@ def learn(texts: DataFrame, lexicon_size: int = LEXICON) -> tuple[dict[str, int]
     unseen = asks.where(~F.col("word").startswith("\n")).select("word").distinct().join(counted, "word", "left_anti").withColumn("n", F.lit(0).cast("long"))
     guessed = _candidates(unseen, counted, lexicon, whole).select("word", "right", F.lit(None).cast("array<float>").alias("vector"))
     readings = held.unionByName(guessed).groupBy("word").agg(F.array_sort(F.collect_set(F.struct("right", "vector"))).alias("readings"))
-    readings = readings.withColumn("readings", F.transform("readings", lambda r: F.struct(r["right"].alias("right"), F.when(F.size("readings") > 1, r["vector"]).alias("vector"))))
-    forms = gathered.where(F.col("kind") == _FORM).groupBy("word").agg(F.count("*").alias("n"), F.lit(None).cast(readings.schema["readings"].dataType).alias("readings")).where(F.col("n") >= SURROUNDINGS)
-    known = counted.join(readings, "word", "full_outer").select("word", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "readings").unionByName(forms)
-    facts = asks.join(known, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n", "readings")).alias("facts"))
-    return lexicon, facts, {(d, w): projection[k * CONTEXTS + i] for k, d in enumerate(_PLACES) for w, i in contexts.items()}
-
-
-class _Counts(dict):
-    """Sightings from a text's facts, over the lexicon's."""
-
-    def __init__(self, facts: dict[str, int], lexicon: dict[str, int]) -> None:
-        super().__init__(facts)
-        self.lexicon = lexicon
-
-    def get(self, word: str, default: int = 0) -> int:
-        return super().get(word) or self.lexicon.get(word, default)
-
-
-def reader_of(facts, lexicon: dict[str, int], places: dict[tuple[int, str], np.ndarray]) -> Reader:  # noqa: ANN001
-    """The reader for one text, from its facts (rows of word, n, readings) or None."""
-    counts, readings, running = {}, {}, {}
-    for f in facts if facts is not None else ():
-        if f["word"][0] == "\n":
-            running[f["word"][1:]] = True
-            continue
-        counts[f["word"]] = f["n"]
-        if f["readings"] is not None and len(f["readings"]):
-            readings[f["word"]] = [Reading(r["right"], None if r["vector"] is None else np.asarray(r["vector"], np.float32)) for r in f["readings"]]
-    return Reader(_Counts(counts, lexicon), readings, running, places)
+    readings = cut(readings.withColumn("readings", F.transform("readings", lambda r: F.struct(r["right"].alias("right"), F.when(F.size("readings") > 1, r["vector"]).alias("vector")))))
+    listed = spark.createDataFrame([(w,) for w in lexicon], "word string")
+    told = {r.word: [Reading(x.right, None if x.vector is None else np.asarray(x.vector, np.float32)) for x in r.readings] for r in readings.join(listed, "word", "left_semi").collect()}
+    forms = gathered.where(F.col("kind") == _FORM).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SURROUNDINGS)
+    none = F.lit(None).cast(readings.schema["readings"].dataType).alias("readings")
+    seen = asks.join(counted.select("word", "n", none).unionByName(forms.select("word", "n", none)), "word").unionByName(asks.join(readings, "word").select("key", "word", F.lit(0).cast("long").alias("n"), "readings"))
+    one = seen.groupBy("key", "word").agg(F.max("n").alias("n"), F.max("readings").alias("readings"))
+    facts = one.groupBy("key").agg(F.collect_list(F.struct("word", "n", "readings")).alias("facts"))
+    places = {(d, w): projection[k * CONTEXTS + i] for k, d in enumerate(_PLACES) for w, i in contexts.items()}
+    return Reader(lexicon, told, places), facts
 
 
 def records(work_items: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -279,11 +257,11 @@ def repaired(recs: DataFrame, lexicon_size: int = LEXICON) -> DataFrame:
     learned = learn(keyed.select("key", "text"), lexicon_size)
     if learned is None:
         return recs.select("rec_table", "rec_key", F.array().cast("array<string>").alias("noise"), "text")
-    lexicon, facts, places = learned
+    reader, facts = learned
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = [repair(x, reader_of(f, lexicon, places)) for x, f in zip(frame["text"], frame["facts"], strict=True)]
+            done = [repair(x, reader.of(() if f is None else f)) for x, f in zip(frame["text"], frame["facts"], strict=True)]
             yield pd.DataFrame({"rec_table": frame["rec_table"], "rec_key": frame["rec_key"], "noise": [sorted(n) for n, _ in done], "text": [x for _, x in done]})
 
     return keyed.join(facts, "key", "left").select("rec_table", "rec_key", "text", "facts").mapInPandas(run, out)

@@ -17,9 +17,10 @@ def counts():
 
 def reader_for(text, counts, running=()):
     """Knows of the text only what it asks for."""
-    words = T.asked(text, {})
-    found = {w: [T.Reading(to) for to, clear in T.edits(w).items() if counts.get(to, 0) >= (2 if clear else 20)] for w in words if w not in counts}
-    return T.Reader({w: n for w, n in counts.items() if w in words}, {w: r for w, r in found.items() if r}, {T.form_of(x): True for x in running})
+    words = T.asked(set(T.tokens_of(text)), *T.outline(text), {})
+    found = {w: [{"right": to, "vector": None} for to, clear in T.edits(w).items() if counts.get(to, 0) >= (2 if clear else 20)] for w in words if w not in counts}
+    facts = [{"word": w, "n": counts.get(w, 0), "readings": found.get(w)} for w in words] + [{"word": "\n" + T.form_of(x), "n": 2, "readings": None} for x in running]
+    return T.Reader({}, {}).of(facts)
 
 
 def repair(text, counts, running=()):
@@ -66,7 +67,7 @@ def test_forms_fold_numbers_and_glyphs():
     assert T.form_of("Chapter 3  Risk register") == T.form_of("CHAPFER 12  Rlsk rcgister")
     assert T.form_of("Nordkist / Roles") != T.form_of("Nordkist / Scope")
     page = "one line of text runs to here and\nNordkist / Roles\n{} goes on there to the end of it all"
-    assert {a for _, a in T.header_forms(page.format("this"))} != {a for _, a in T.header_forms(page.format("that"))}
+    assert {a for _, a in T.header_forms(*T.outline(page.format("this")))} != {a for _, a in T.header_forms(*T.outline(page.format("that")))}
 
 
 def test_neighbours_tell_words_apart(monkeypatch):
