@@ -78,7 +78,7 @@ class Reader:
     """What the collection says about the words of a text.
 
     common, told: sightings inside lines, and readings of misread words, among the words known to all texts; counts, readings: of this text's other words.
-    running: whether a line in the form of a header is one. places: vectors of (offset, neighbour). fine: common tokens found to be no misreadings, kept between texts.
+    running: whether a line in the form of a header is one. places: vectors of (offset, neighbour). fine: common tokens found to be no misreadings, kept between texts. lined: whether some lines may be furniture or end within a word.
     """
 
     def __init__(self, common: Mapping[str, int], told: Mapping[str, list[Reading]], places: Mapping[tuple[int, str], np.ndarray] | None = None) -> None:
@@ -86,11 +86,13 @@ class Reader:
         self.of(())
 
     def of(self, facts: Iterable[Mapping]) -> Reader:
-        """Set to a text's facts: word, n, readings (right, vector); of a header's form, a line feed stands before it."""
-        self.counts, self.readings, self.running = {}, {}, {}
+        """Set to a text's facts: word, n, readings (right, vector); before a header's form stands a line feed. A line feed alone: lines matter."""
+        self.counts, self.readings, self.running, self.lined = {}, {}, {}, False
         for f in facts:
             word, readings = f["word"], f["readings"]
-            if word[0] == "\n":
+            if word == "\n":
+                self.lined = True
+            elif word[0] == "\n":
                 self.running[word[1:]] = True
             else:
                 self.counts[word] = f["n"]
@@ -125,10 +127,13 @@ class Reader:
 
     def suspects(self, text: str) -> bool:
         """Whether any token of the text could be a misreading at all."""
-        new = set(tokens_of(text)) - self.fine
-        bad = {t for t in new if len(t) <= LONGEST and not t.isdigit() and self.could(t)}
-        self.fine |= {t for t in new - bad if t in self.common} if len(self.fine) < 400_000 else set()
-        return bool(bad)
+        for chunk in set(text.split()) - self.fine:
+            tokens = tokens_of(chunk)
+            if any(self.could(t) for t in tokens if len(t) <= LONGEST and not t.isdigit()):
+                return True
+            if len(self.fine) < 400_000 and all(t in self.common or t.isdigit() for t in tokens):
+                self.fine.add(chunk)
+        return False
 
     def joined(self, left: str, mark: str, right: str) -> str | None:
         """The word that was broken into left and right, or None when they are two words or a compound with its own hyphen."""
@@ -320,8 +325,12 @@ def word_of(token: str) -> str | None:
 
 
 def asked(tokens: set[str], kinds: list[str], lines: list[str], lexicon: Mapping[str, int]) -> set[str]:
-    """Words outside the lexicon whose sightings and readings `repair` may ask for. tokens: the text's; kinds, lines: its outline."""
-    out = {t for t in tokens if t not in lexicon}
+    """Words outside the lexicon whose sightings and readings `repair` may ask for. tokens: the text's; kinds, lines: its outline.
+
+    A line feed among them says that some lines may be furniture or end within a word.
+    """
+    out = {t for t in tokens if t not in lexicon} - {"\n"}
+    lined = not _MAYBE.isdisjoint(kinds)
     for i, kind in enumerate(kinds[:-1]):
         if kind in ("text", "header?"):
             # Furniture and blank lines may fall out between the halves.
@@ -332,6 +341,7 @@ def asked(tokens: set[str], kinds: list[str], lines: list[str], lexicon: Mapping
                     if lexicon.get(here[here.rfind(" ") + 1 :].lower(), 0) >= SEEN and lexicon.get(there.split(" ", 1)[0].rstrip(".,;:?!)").lower(), 0) >= SEEN:
                         pass
                     elif halves := _breaks(here, there):
+                        lined = True
                         left, right = halves[0][1].lower(), halves[1][0].lower()
                         out |= {left, right, left + right, f"{left}-{right}"}
                         if rest := re.match(r"\S*", there[halves[1].end() :])[0]:
@@ -346,13 +356,13 @@ def asked(tokens: set[str], kinds: list[str], lines: list[str], lexicon: Mapping
             out.add(t.rstrip("!|"))
         if "-" in t:
             out.update(t.split("-"))
-    return {t for t in out if t and t not in lexicon and len(t) <= 2 * LONGEST and t != "\n" and not t.isdigit()}
+    return {t for t in out if t and t not in lexicon and len(t) <= 2 * LONGEST and not t.isdigit()} | ({"\n"} if lined else set())
 
 
 def repair(text: str, reader: Reader) -> tuple[set[str], str]:
     """The kinds of noise found, and the text repaired and reflowed; a text without noise comes back as it is."""
     noise: set[str] = set()
-    if "\n" not in text and not reader.suspects(text):
+    if not reader.lined and not reader.suspects(text):
         return noise, text
     rows = classify(text, reader.running)
     kept: list[tuple[str, str]] = []

@@ -222,7 +222,7 @@ def learn(texts: DataFrame, lexicon_size: int = LEXICON) -> tuple[Reader, DataFr
     by_word = neighbours.join(needed, "word", "left_semi").groupBy("word").agg(F.collect_list("code").alias("codes"), F.collect_list(F.col("n").cast("double")).alias("ns"))
     held = _held(spelled, cut(by_word.mapInPandas(_vectors(projection, share), "word string, near array<float>, vector array<float>, known long, own long")))
 
-    asks = gathered.where(F.col("kind") == _ASKED).select("key", "word")
+    asks = gathered.where((F.col("kind") == _ASKED) & (F.col("word") != "\n")).select("key", "word")
     # Of words never seen inside a line the spelling decides.
     unseen = asks.where(~F.col("word").startswith("\n")).select("word").distinct().join(counted, "word", "left_anti").withColumn("n", F.lit(0).cast("long"))
     guessed = _candidates(unseen, counted, lexicon, whole).select("word", "right", F.lit(None).cast("array<float>").alias("vector"))
@@ -233,7 +233,8 @@ def learn(texts: DataFrame, lexicon_size: int = LEXICON) -> tuple[Reader, DataFr
     forms = gathered.where(F.col("kind") == _FORM).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SURROUNDINGS)
     none = F.lit(None).cast(readings.schema["readings"].dataType).alias("readings")
     seen = asks.join(counted.select("word", "n", none).unionByName(forms.select("word", "n", none)), "word").unionByName(asks.join(readings, "word").select("key", "word", F.lit(0).cast("long").alias("n"), "readings"))
-    one = seen.groupBy("key", "word").agg(F.max("n").alias("n"), F.max("readings").alias("readings"))
+    lined = gathered.where((F.col("kind") == _ASKED) & (F.col("word") == "\n")).select("key", "word", F.lit(0).cast("long").alias("n"), none)
+    one = seen.unionByName(lined).groupBy("key", "word").agg(F.max("n").alias("n"), F.max("readings").alias("readings"))
     facts = one.groupBy("key").agg(F.collect_list(F.struct("word", "n", "readings")).alias("facts"))
     places = {(d, w): projection[k * CONTEXTS + i] for k, d in enumerate(_PLACES) for w, i in contexts.items()}
     return Reader(lexicon, told, places), facts
