@@ -13,7 +13,7 @@ changes no result. What the driver fetches is bounded: LEXICON words and at most
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import count
 
@@ -60,10 +60,18 @@ def _numbered(texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, list[
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sightings of words inside lines: what stands first or last on a line may be half a word. Whatever stands between blanks is taken apart once a batch."""
     for frame in frames:
-        x, inside, words = _numbered(map(tokens_of, frame["text"]))
-        n = np.bincount(x[inside], minlength=len(words))
-        yield pd.DataFrame([(w, k) for w, k in zip(words, n.tolist(), strict=True) if k and w], columns=["word", "n"])
+        chunks: Counter = Counter()
+        for text in frame["text"]:
+            for line in text.split("\n"):
+                chunks.update(line.split()[1:-1])
+        words: Counter = Counter()
+        for chunk, n in chunks.items():
+            for token in tokens_of(chunk):
+                words[word_of(token)] += n
+        words.pop(None, None)
+        yield pd.DataFrame(list(words.items()), columns=["word", "n"])
 
 
 _GATHERED = "kind byte, key long, word string, code int, n long"
