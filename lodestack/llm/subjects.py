@@ -1,36 +1,41 @@
-"""Subject areas of documents: bisecting k-means over normalised document vectors, leaves labelled by their discriminative terms, and mixtures over the sentences.
+"""Subject areas of documents: bisecting k-means over normalised document vectors, leaves labelled by their discriminative terms, and mixtures of leaves.
 
-Every pass covers all documents. What the driver holds is the model, of bounded size: LEAVES centres and at most TERMS
-terms an area. Leaves give the first term weights of their areas; the sentences these weights assign give the next.
+Documents are clustered as wholes; a leaf's terms, weighed against all sentences outside its area, then say into which leaf each
+sentence falls, and the sentences fallen there give the leaf its next weights. A document's mixture is the leaves of its sentences, and
+its areas are those of the leaves. Labelled examples do nothing but name leaves: without leaves there are no areas.
+
+Every pass covers all documents. The driver holds the model, of bounded size: the leaves' centres, and at most TERMS terms for each leaf and area.
+Terms travel as 32-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from math import log
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.llm.small import control_rows
 from lodestack.runtime import cut
 
-LEAVES, DIMENSIONS, ITERATIONS = 32, 4096, 6
-#: Terms by which a leaf is labelled, and terms the model keeps for an area.
+#: Leaves for each area of the taxonomy, hashed dimensions of document vectors, and rounds of k-means.
+LEAVES_PER_AREA, DIMENSIONS, ITERATIONS = 4, 4096, 6
+#: Terms by which a leaf is labelled, and terms the model keeps for a leaf (and for an area's examples).
 LEAF_TERMS, TERMS = 150, 5_000
-#: A leaf is an area's when so much of the fit of its terms to all areas is to that one; the others hold texts of no area.
-LEAF_FIT = 0.6
-#: A term counts for an area when it was in so many sentences there and is so much likelier there than on average (nats).
+#: A leaf is an area's when so much of the fit of its terms to all areas is to that one. A leaf whose terms fit the areas less than NO_AREA, beside their weight, holds texts of none.
+LEAF_FIT, NO_AREA = 0.6, 0.3
+#: A term counts for a leaf when it was in so many sentences there and is so much likelier in its area than outside (nats).
 LEAST_COUNT, LEAST_WEIGHT = 3, 0.7
-#: A sentence deals with its best area when its terms' weights, each at most TOP_WEIGHT, sum to so much.
+#: A sentence falls into its best leaf when its terms' weights, each at most TOP_WEIGHT, sum to so much.
 DEALS, TOP_WEIGHT = 3.6, 3.0
-ROUNDS, SHARE = 3, 0.2
-#: Sentences an example of an area stands for when leaves are first labelled.
-EXAMPLE_WEIGHT = 5
+ROUNDS, SHARE = 1, 0.2
 
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _BULLET = re.compile(r"^\s*(?:[-*•‣◦]|\d{1,3}[.)])\s+")
@@ -40,20 +45,27 @@ _NUMBERED = re.compile(r"^\s*\d+(?:\.\d+)*[.)]?\s+\S")
 _ENDS = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _CUT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?=[\"'“„«(\[]*[^\W_])")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐¬–=­]\n\s*(?=[^\W\d_])")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 #: Longer words are unreadable runs.
 LONGEST_WORD, FEWEST_WORDS = 40, 3
 
 
+#: Lines of plain words: no heading, table, list or setting.
+_PLAIN = re.compile(r"(?=[^\W\d_])(?:[^\W_]{1,40}(?:[-'’][^\W_]{1,40}){0,2}[,;.!?)]{0,2} )*[^\W_]{1,40}[,;.!?)]{0,2}")
+
+
 def _is_text(line: str) -> bool:
-    """A line of running text: some words, mostly readable."""
-    if any(len(w) > LONGEST_WORD for w in line.split()):
-        return False
-    return sum(c.isalpha() for c in line) > 0.5 * len(line.replace(" ", ""))
+    """A line of running text: mostly readable."""
+    return 2 * sum(map(len, _LETTERS.findall(line))) > len(line) - line.count(" ")
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of running text and lists; not titles, headings, tables, settings blocks and unreadable runs."""
+    return [s for s, _ in _sentences(text)]
+
+
+def _sentences(text: str) -> list[tuple[str, list[str]]]:
+    """The sentences, and their words in lower case, of running text and lists; not titles, headings, tables and settings blocks. Unreadable runs are left out of their lines."""
     blocks: list[str] = []
     now: list[str] = []
     fenced = False
@@ -66,13 +78,19 @@ def sentences(text: str) -> list[str]:
     first = True
     for line in _BROKEN.sub("", text).split("\n"):
         line = line.strip()
+        plain = _PLAIN.fullmatch(line)
+        if not plain and len(line) > LONGEST_WORD:
+            line = " ".join(w for w in line.split() if len(w) <= LONGEST_WORD)
+        if plain and now and not fenced:
+            now.append(line)
+            continue
         if _FENCE.match(line):
             fenced = not fenced
             flush()
             continue
         if fenced:
             continue
-        if not line or _HEADING.match(line) or line.startswith("|") or line.count("|") > 1 or line.count("\t") > 1 or not _is_text(line):
+        if not line or _HEADING.match(line) or line.startswith("|") or line.count("|") > 1 or line.count("\t") > 1 or not (plain or _is_text(line)):
             flush()
         elif _BULLET.match(line):
             flush()
@@ -90,153 +108,205 @@ def sentences(text: str) -> list[str]:
     out = []
     for block in blocks:
         for s in _CUT.split(block):
-            words = _WORD.findall(s)
+            words = _WORD.findall(s.lower())
             if len(words) >= FEWEST_WORDS and (_ENDS.search(s) or len(words) > 5):
-                out.append(s)
+                out.append((s, words))
     return out
 
 
-def terms(sentence: str) -> list[str]:
-    return sorted({w for w in _WORD.findall(sentence.lower()) if 1 < len(w) <= LONGEST_WORD})
+class _Terms:
+    """Numbers of terms: 32 bits of their hash, kept within one task."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, words: list[str]) -> set[int]:
+        known = self.known
+        for w in words:
+            if w not in known:
+                known[w] = (xxhash.xxh32_intdigest(w) - (1 << 31)) if 1 < len(w) <= LONGEST_WORD else None
+        out = {known[w] for w in words}
+        out.discard(None)
+        return out
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per row the terms of all its sentences end to end, and how many each sentence has. Other columns are kept."""
+    number = _Terms()
     for frame in frames:
-        yield pd.DataFrame({"item": frame["item"], "sents": [[terms(s) for s in sentences(x)] for x in frame["text"]]})
+        ids, lens = [], []
+        for text in frame.pop("text"):
+            sets = [number(words) for _, words in _sentences(text)]
+            ids.append([t for s in sets for t in s])
+            lens.append([len(s) for s in sets])
+        yield frame.assign(ids=ids, lens=lens)
 
 
-class Model:
-    """Term weights by area. Plain dictionaries, sent with the tasks."""
+def _flat(lists: pd.Series, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The lists end to end, and their lengths."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return (np.concatenate([np.asarray(x, kind) for x in lists]) if sizes.sum() else np.zeros(0, kind)), sizes
 
-    def __init__(self, weights: dict[str, dict[str, float]]) -> None:
-        self.weights = weights
 
-    def area(self, words: list[str]) -> str | None:
-        total: dict[str, float] = defaultdict(float)
-        for w in words:
-            for area, x in self.weights.get(w, {}).items():
-                total[area] += x
-        if not total:
-            return None
-        best = max(total, key=lambda a: (total[a], a))
-        return best if total[best] >= DEALS else None
-
-
-def _weights(counts: dict[tuple[str, str], float], by_area: dict[str, float], overall: dict[str, float], n: float) -> Model:
-    """Log likelihood ratio of each term in an area's sentences against all others, so that a large area's terms weigh as much as a small one's."""
-    out: dict[str, dict[str, float]] = defaultdict(dict)
-    for (area, term), c in counts.items():
-        everywhere = max(overall.get(term, c), c)
-        p = everywhere / n
-        elsewhere = (everywhere - c + 0.5) / (max(n - by_area[area], 0.0) + 1)
-        w = log((c + 20 * p) / (by_area[area] + 20)) - log(elsewhere)
-        if c >= LEAST_COUNT and w >= LEAST_WEIGHT:
-            out[term][area] = min(w, TOP_WEIGHT)
-    return Model(dict(out))
-
-
-def _gathered(by: DataFrame, overall: DataFrame) -> tuple[dict, dict]:
-    """Counts of the TERMS commonest terms of each area (columns area, term, c), and those terms' counts overall."""
-    top = by.where(F.col("c") >= LEAST_COUNT).withColumn("r", F.row_number().over(Window.partitionBy("area").orderBy(F.desc("c"), "term"))).where(F.col("r") <= TERMS)
-    counts = {(r.area, r.term): float(r.c) for r in top.join(overall.withColumnRenamed("c", "all"), "term").select("area", "term", "c", "all").collect()}
-    known = top.select("term").distinct().join(overall, "term").collect()
-    return counts, {r.term: float(r.c) for r in known}
-
-
-def subject_model(docs: DataFrame, examples: DataFrame, areas: list[str]) -> Model:
-    """docs: item, sents (cut). examples: domain, text; rows without an area of the taxonomy are passed over."""
-    flat = docs.select("item", F.flatten("sents").alias("words"))
-    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=DIMENSIONS, binary=True)
-    idf = IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2).fit(hashed.transform(flat))
-    norm = Normalizer(inputCol="tfidf", outputCol="features")
-    vectors = cut(norm.transform(idf.transform(hashed.transform(flat))).where(F.size("words") > 0).select("item", "features"))
-    leaves = BisectingKMeans(k=LEAVES, maxIter=ITERATIONS, seed=11, featuresCol="features", predictionCol="leaf", minDivisibleClusterSize=4.0).fit(vectors)
-    placed = leaves.transform(vectors).select("item", "leaf")
-
-    said = [(r.domain, t) for r in examples.where(F.col("domain").isin(areas) & F.col("text").isNotNull()).select("domain", "text").distinct().collect() for t in [[terms(s) for s in sentences(r.text)] or [terms(r.text)]]]
-    example_counts: Counter = Counter((a, w) for a, sents in said for s in sents for w in s)
-    example_n = Counter(a for a, sents in said for _ in sents)
-    spoken: Counter = Counter()
-    for (_, w), c in example_counts.items():
-        spoken[w] += c
-    example_model = _weights({k: float(c) for k, c in example_counts.items()}, example_n, spoken, float(sum(example_n.values()) or 1))
-
-    by_sentence = docs.join(placed, "item").select("leaf", F.explode("sents").alias("s"))
-    leaf_n = {r.leaf: r.n for r in by_sentence.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    n = float(sum(leaf_n.values()) or 1)
-    leaf_terms = cut(by_sentence.select("leaf", F.explode("s").alias("term")).groupBy("leaf", "term").agg(F.count("*").alias("c")))
-    overall = cut(leaf_terms.groupBy("term").agg(F.sum("c").alias("c")))
-    sizes = F.create_map(*[F.lit(x) for kv in leaf_n.items() for x in kv]) if leaf_n else F.create_map(F.lit(0), F.lit(1))
-    ratio = F.log(F.col("c") / sizes[F.col("leaf")]) - F.log(F.col("all") / n)
-    told = leaf_terms.join(overall.withColumnRenamed("c", "all"), "term").where(F.col("c") >= LEAST_COUNT).select("leaf", "term", (ratio * F.sqrt("c")).alias("w"))
-    top = told.withColumn("r", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("w"), "term"))).where(F.col("r") <= LEAF_TERMS).collect()
-    fits: dict[int, Counter] = defaultdict(Counter)
-    for r in top:
-        for area, x in example_model.weights.get(r.term, {}).items():
-            fits[r.leaf][area] += max(r.w, 0.0) * x
-    label = {leaf: max(sorted(f), key=f.get) for leaf, f in fits.items() if f and max(f.values()) >= LEAF_FIT * sum(f.values())}
-
-    named = leaf_terms.where(F.col("leaf").isin(list(label))) if label else leaf_terms.limit(0)
-    names = F.create_map(*[F.lit(x) for kv in label.items() for x in kv]) if label else F.create_map(F.lit(0), F.lit(""))
-    counts, everywhere = _gathered(named.groupBy(names[F.col("leaf")].alias("area"), "term").agg(F.sum("c").alias("c")), overall)
-    by_area: Counter = Counter()
-    for leaf, area in label.items():
-        by_area[area] += leaf_n[leaf]
-    for (area, w), c in example_counts.items():
-        counts[area, w] = counts.get((area, w), 0) + EXAMPLE_WEIGHT * c
-        everywhere[w] = everywhere.get(w, 0) + EXAMPLE_WEIGHT * c
-    for area, c in example_n.items():
-        by_area[area] += EXAMPLE_WEIGHT * c
-    model = _weights(counts, by_area, everywhere, n)
-    for _ in range(ROUNDS - 1):
-        found = cut(docs.mapInPandas(_counter(model), "area string, term string, c long").groupBy("area", "term").agg(F.sum("c").alias("c")))
-        by_area = {r.area: float(r.c) for r in found.where(F.col("term") == "").collect()}
-        counts, everywhere = _gathered(found.where(F.col("term") != ""), overall)
-        model = _weights(counts, by_area, everywhere, n)
-    return model
-
-
-def _counter(model: Model):  # noqa: ANN202
-    """Sentences with each term by the area the model gives them, combined within a task's batches; the term '' counts the sentences."""
+class Model:
+    """Weights of terms (sorted hashes) for leaves (columns)."""
+
+    def __init__(self, terms: np.ndarray, leaves: list[int], weights: np.ndarray) -> None:
+        self.terms, self.leaves, self.weights = terms, np.array(leaves, np.int64), weights.astype(np.float32)
+
+    def leaf_of(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The leaf each sentence falls into, -1 for none. Of leaves that fit as well the first counts."""
+        out = np.full(len(lens), -1, np.int64)
+        if not len(self.terms) or not len(self.leaves):
+            return out
+        at = np.minimum(np.searchsorted(self.terms, ids), len(self.terms) - 1)
+        known = np.flatnonzero(self.terms[at] == ids)
+        if len(known):
+            sentence = np.repeat(np.arange(len(lens)), lens)[known]
+            start = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+            total = np.add.reduceat(self.weights[at[known]], start, axis=0)
+            best = total.argmax(axis=1)
+            deals = total[np.arange(len(best)), best] >= DEALS
+            out[sentence[start][deals]] = self.leaves[best[deals]]
+        return out
+
+
+def _log_ratio(c: np.ndarray, inside: np.ndarray, outside_c: np.ndarray, outside: np.ndarray, n: float, everywhere: np.ndarray) -> np.ndarray:
+    """How much likelier (nats) a term is in some sentences than in those outside."""
+    p = everywhere / max(n, 1.0)
+    return np.log((c + 20 * p) / (inside + 20)) - np.log((np.maximum(outside_c, 0) + 0.5) / (np.maximum(outside, 0) + 1))
+
+
+def _weighed(counts: DataFrame, label: dict[int, str | None]) -> Model:
+    """The model of the leaves that have an area or none: the terms of each, weighed by how much likelier they are in its area than outside. From counts (leaf, term, c) of sentences; term NULL counts the sentences themselves."""
+    if not any(label.values()):
+        return Model(np.zeros(0, np.int32), [], np.zeros((0, 0)))
+    # A leaf of no area stands for itself.
+    label = {k: f"area {a}" if a else f"leaf {k}" for k, a in label.items()}
+    area = F.create_map(*[F.lit(x) for kv in label.items() for x in kv])[F.col("leaf")]
+    sizes = {r.leaf: float(r.c) for r in counts.where("term IS NULL").collect()}
+    n = sum(sizes.values())
+    by = counts.where("term IS NOT NULL").withColumn("area", area)
+    by = by.withColumns({"everywhere": F.sum("c").over(Window.partitionBy("term")), "at_home": F.sum("c").over(Window.partitionBy("term", "area"))})
+    ranked = by.where(F.col("area").isNotNull() & (F.col("c") >= LEAST_COUNT)).withColumn("r", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("c"), "term")))
+    rows = ranked.where(F.col("r") <= TERMS).select("leaf", "term", "c", "everywhere", "at_home").toArrow()
+    leaf, term, c, everywhere, at_home = (x.to_numpy() for x in rows.columns)
+    areas: Counter = Counter()
+    for k, a in label.items():
+        areas[a] += sizes.get(k, 0.0)
+    home = np.array([float(areas[label[k]]) for k in leaf.tolist()])
+    w = _log_ratio(at_home, home, everywhere - at_home, n - home, n, everywhere)
+    keep = w >= LEAST_WEIGHT
+    terms, row = np.unique(term[keep], return_inverse=True)
+    leaves = sorted(label)
+    weights = np.zeros((len(terms), len(leaves)), np.float32)
+    weights[row, np.searchsorted(leaves, leaf[keep])] = np.minimum(w[keep], TOP_WEIGHT)
+    return Model(terms, leaves, weights)
+
+
+def _counting(model: Model | None):  # noqa: ANN202
+    """Sentences with each term by leaf (of the document where there is no model yet), and the sentences themselves (term NULL), combined per batch."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            c: Counter = Counter()
-            for sents in frame["sents"]:
-                for s in sents:
-                    if (area := model.area(list(s))) is not None:
-                        c.update((area, w) for w in ("", *s))
-            yield pd.DataFrame([(a, w, n) for (a, w), n in c.items()], columns=["area", "term", "c"])
+            lens, per_row = _flat(frame["lens"], np.int64)
+            ids, _ = _flat(frame["ids"], np.int64)
+            leaf = np.repeat(frame["leaf"].to_numpy(np.int64), per_row) if model is None else model.leaf_of(ids.astype(np.int32), lens)
+            k, n = np.unique(leaf, return_counts=True)
+            pairs, c = np.unique((np.repeat(leaf, lens) << 32) + (ids + (1 << 31)), return_counts=True)
+            term = pd.array(np.r_[(pairs & 0xFFFFFFFF) - (1 << 31), np.zeros(len(k), np.int64)], "Int64")
+            term[len(pairs) :] = pd.NA
+            yield pd.DataFrame({"leaf": np.r_[pairs >> 32, k], "term": term, "c": np.r_[c, n]})
 
     return run
 
 
-def _mixtures(model: Model):  # noqa: ANN202
+def _counts(docs: DataFrame, model: Model | None) -> DataFrame:
+    columns = ["ids", "lens"] + ["leaf"] * (model is None)
+    return cut(docs.select(*columns).mapInPandas(_counting(model), "leaf long, term int, c long").groupBy("leaf", "term").agg(F.sum("c").alias("c")))
+
+
+def _labels(counts: DataFrame, examples: DataFrame) -> dict[int, str | None]:
+    """The area of each leaf whose discriminative terms are mostly one area's, None for leaves of no area; mixed ones are left out. examples: area, ids, lens."""
+    told = examples.select("area", F.explode("ids").alias("term")).groupBy("area", "term").agg(F.count("*").alias("c"))
+    spoken = told.withColumns({"everywhere": F.sum("c").over(Window.partitionBy("term")), "r": F.row_number().over(Window.partitionBy("area").orderBy(F.desc("c"), "term"))})
+    known = spoken.where((F.col("r") <= TERMS) & (F.col("c") >= LEAST_COUNT)).toPandas()
+    sizes = {r.area: float(r.n) for r in examples.groupBy("area").agg(F.sum(F.size("lens")).alias("n")).collect()}
+    n = sum(sizes.values())
+    inside = known["area"].map(sizes).to_numpy(float)
+    known["w"] = _log_ratio(known["c"].to_numpy(float), inside, (known["everywhere"] - known["c"]).to_numpy(float), n - inside, n, known["everywhere"].to_numpy(float))
+    known["w"] = known["w"].clip(upper=TOP_WEIGHT)
+    leaf_n = {r.leaf: float(r.c) for r in counts.where("term IS NULL").collect()}
+    total = sum(leaf_n.values())
+    size = F.create_map(*[F.lit(x) for kv in leaf_n.items() for x in kv])[F.col("leaf")]
+    by = counts.where("term IS NOT NULL").withColumn("everywhere", F.sum("c").over(Window.partitionBy("term")))
+    told_by = F.greatest(F.lit(0.0), (F.log(F.col("c") / size) - F.log(F.col("everywhere") / total)) * F.sqrt("c"))
+    top = by.where(F.col("c") >= LEAST_COUNT).select("leaf", "term", told_by.alias("x")).withColumn("r", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("x"), "term"))).where(F.col("r") <= LEAF_TERMS).toPandas()
+    fit = top.merge(known[known["w"] >= LEAST_WEIGHT][["area", "term", "w"]], on="term")
+    fit = fit.assign(fit=fit["x"] * fit["w"]).groupby(["leaf", "area"])["fit"].sum()
+    out: dict[int, str | None] = {}
+    for leaf, weight in top.groupby("leaf")["x"].sum().items():
+        f = fit.loc[leaf].sort_index() if leaf in fit.index.get_level_values(0) else pd.Series([0.0])
+        if f.sum() < NO_AREA * weight:
+            out[int(leaf)] = None
+        elif f.max() >= LEAF_FIT * f.sum():
+            out[int(leaf)] = f.idxmax()
+    return out
+
+
+def subject_model(docs: DataFrame, examples: DataFrame, areas: int) -> tuple[Model, dict[int, str | None]]:
+    """Weights of the leaves, and their areas. docs: ids, lens (cut). examples: area, ids, lens."""
+    hashed = HashingTF(inputCol="ids", outputCol="tf", numFeatures=DIMENSIONS, binary=True)
+    tf = hashed.transform(docs.where(F.size("ids") > 0))
+    idf = IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2).fit(tf)
+    vectors = Normalizer(inputCol="tfidf", outputCol="features").transform(idf.transform(tf)).select("ids", "lens", "features")
+    fitted = BisectingKMeans(k=LEAVES_PER_AREA * areas, maxIter=ITERATIONS, seed=11, featuresCol="features", predictionCol="leaf", minDivisibleClusterSize=4.0).fit(vectors.select("features"))
+    counts = _counts(fitted.transform(vectors), None)
+    label = _labels(counts, examples)
+    model = _weighed(counts, label)
+    for _ in range(ROUNDS):
+        model = _weighed(_counts(docs, model), label)
+    return model, label
+
+
+def _mixing(model: Model, label: dict[int, str | None]):  # noqa: ANN202
+    named = np.array([k for k, a in label.items() if a], np.int64)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for item, sents in zip(frame["item"], frame["sents"], strict=True):
-                c = Counter(a for s in sents if (a := model.area(list(s))) is not None)
-                out += [(item, a, n, len(sents)) for a, n in c.items()]
-            yield pd.DataFrame(out, columns=["item", "domain", "n", "sents"])
+            lens, per_row = _flat(frame["lens"], np.int64)
+            ids, _ = _flat(frame["ids"], np.int32)
+            leaf = model.leaf_of(ids, lens)
+            ours = np.isin(leaf, named)
+            pairs, n = np.unique((np.repeat(np.arange(len(per_row)), per_row)[ours] << 32) + leaf[ours], return_counts=True)
+            row, leaf = pairs >> 32, pairs & 0xFFFFFFFF
+            yield pd.DataFrame({"item": frame["item"].to_numpy(object)[row], "leaf": leaf, "domain": np.array([label[k] for k in leaf.tolist()], object), "n": n, "sents": per_row[row]})
 
     return run
 
 
+def leaf_mixtures(items: DataFrame, taxonomy: DataFrame, examples: DataFrame, item: str = "artifact_dir") -> DataFrame:
+    """item, leaf, domain, n, sents: the labelled leaves that the item's sentences fall into, and how many do of how many."""
+    areas = sorted({r.domain for r in control_rows(taxonomy.select("domain")) if r.domain})
+    texts = items.where(F.col("text").isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("item"), "text")
+    kind = dict(texts.dtypes)["item"]
+    docs = cut(texts.mapInPandas(_read, f"item {kind}, ids array<int>, lens array<int>"))
+    out = f"item {kind}, leaf long, domain string, n long, sents long"
+    if not areas or docs.isEmpty():
+        return items.sparkSession.createDataFrame([], out)
+    told = examples.where(F.col("domain").isin(areas) & F.col("text").isNotNull()).select(F.col("domain").alias("area"), "text").distinct()
+    model, label = subject_model(docs, cut(told.mapInPandas(_read, "area string, ids array<int>, lens array<int>")), len(areas))
+    return docs.mapInPandas(_mixing(model, label), out).distinct()
+
+
 def subjects(items: DataFrame, taxonomy: DataFrame, examples: DataFrame, item: str = "artifact_dir") -> DataFrame:
     """item, domain, sentences, share: every area some sentence of the item deals with and its share of the item's sentences.
 
     NULL texts and texts without a sentence have no rows; a repeated row counts once; examples whose area is NULL or not in the taxonomy are passed over;
-    an empty taxonomy or no examples give no rows. Of areas with equal weight a sentence takes the last by name.
+    an empty taxonomy or no examples give no rows. Of leaves of equal weight a sentence takes the first.
     """
-    areas = sorted(r.domain for r in taxonomy.select("domain").distinct().collect() if r.domain)
-    texts = items.where(F.col("text").isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("item"), "text")
-    kind = dict(texts.dtypes)["item"]
-    docs = cut(texts.mapInPandas(_read, f"item {kind}, sents array<array<string>>"))
-    if not areas or docs.isEmpty():
-        return items.sparkSession.createDataFrame([], f"{item} {kind}, domain string, sentences long, share double")
-    model = subject_model(docs, examples, areas)
-    mixed = docs.mapInPandas(_mixtures(model), f"item {kind}, domain string, n long, sents long")
-    return mixed.distinct().select(F.col("item").alias(item), "domain", F.col("n").alias("sentences"), (F.col("n") / F.col("sents")).alias("share"))
+    by = leaf_mixtures(items, taxonomy, examples, item).groupBy("item", "domain", "sents").agg(F.sum("n").alias("n"))
+    return by.select(F.col("item").alias(item), "domain", F.col("n").alias("sentences"), (F.col("n") / F.col("sents")).alias("share"))
 
 
 def assigned(mixtures: DataFrame, item: str = "artifact_dir", share: float = SHARE) -> DataFrame:

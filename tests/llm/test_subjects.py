@@ -40,3 +40,19 @@ def test_held_out_areas(spark):
     assert S.composition(mixed).agg(F.round(F.sum("sentence_share"), 3)).first()[0] == 1.0
     assert rows(S.subjects(df, tax.limit(0), ex)) == rows(S.subjects(df.limit(0), tax, ex)) == []
     assert rows(S.subjects(df, tax, ex.limit(0))) == []
+
+
+def test_areas_come_from_leaves(spark, monkeypatch):
+    """The same corpus without labelled leaves has no areas."""
+    rng = random.Random(4)
+    items = [(f"d{i}", " ".join([rng.choice(PLAIN)] + [sentence(rng, a) for _ in range(6)])) for i, a in enumerate(sorted(WORDS) * 40)]
+    df = spark.createDataFrame(items, "artifact_dir string, text string")
+    tax = spark.createDataFrame([(a,) for a in WORDS], "domain string")
+    ex = spark.createDataFrame([(a, " ".join(sentence(rng, a) for _ in range(3))) for a in sorted(WORDS) * 8], "domain string, text string")
+    assert S.leaf_mixtures(df, tax, ex).select("leaf").distinct().count() >= 3
+    monkeypatch.setattr(S, "_labels", lambda counts, examples: {})
+    assert rows(S.subjects(df, tax, ex)) == []
+
+
+def test_long_runs_leave_the_words_beside_them():
+    assert S.sentences("Heading\n\nThe judge " + "x" * 50 + " heard the appeal of the plaintiff.") == ["The judge heard the appeal of the plaintiff."]
