@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,9 +46,10 @@ _NUMBERED = re.compile(r"^\s*\d+(?:\.\d+)*[.)]?\s+\S")
 _ENDS = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _CUT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?=[\"'“„«(\[]*[^\W_])")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐¬–=­]\n\s*(?=[^\W\d_])")
+_RUN = re.compile(r"\S{41,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
-#: Longer words are unreadable runs.
+#: Longer words are unreadable runs (the same length stands in the pattern of runs).
 LONGEST_WORD, FEWEST_WORDS = 40, 3
 
 
@@ -79,8 +81,8 @@ def _sentences(text: str) -> list[tuple[str, list[str]]]:
     for line in _BROKEN.sub("", text).split("\n"):
         line = line.strip()
         plain = _PLAIN.fullmatch(line)
-        if not plain and len(line) > LONGEST_WORD:
-            line = " ".join(w for w in line.split() if len(w) <= LONGEST_WORD)
+        if not plain and _RUN.search(line):
+            line = " ".join(_RUN.sub("", line).split())
         if plain and now and not fenced:
             now.append(line)
             continue
@@ -114,31 +116,28 @@ def _sentences(text: str) -> list[tuple[str, list[str]]]:
     return out
 
 
-class _Terms:
-    """Numbers of terms: 32 bits of their hash, kept within one task."""
+class _Terms(dict):
+    """Numbers of terms: 32 bits of their hash, kept within one task; None for what is no term."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, word: str) -> int | None:
+        self[word] = out = (xxhash.xxh32_intdigest(word) - (1 << 31)) if 1 < len(word) <= LONGEST_WORD else None
+        return out
 
-    def __call__(self, words: list[str]) -> set[int]:
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = (xxhash.xxh32_intdigest(w) - (1 << 31)) if 1 < len(w) <= LONGEST_WORD else None
-        out = {known[w] for w in words}
+    def of(self, words: list[str]) -> set[int]:
+        out = set(map(self.__getitem__, words))
         out.discard(None)
         return out
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per row the terms of all its sentences end to end, and how many each sentence has. Other columns are kept."""
-    number = _Terms()
+    terms = _Terms()
     for frame in frames:
         ids, lens = [], []
         for text in frame.pop("text"):
-            sets = [number(words) for _, words in _sentences(text)]
-            ids.append([t for s in sets for t in s])
-            lens.append([len(s) for s in sets])
+            sets = [terms.of(words) for _, words in _sentences(text)]
+            ids.append(np.fromiter(chain.from_iterable(sets), np.int32))
+            lens.append(np.fromiter(map(len, sets), np.int32))
         yield frame.assign(ids=ids, lens=lens)
 
 
