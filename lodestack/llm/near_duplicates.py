@@ -1,9 +1,10 @@
 """Groups of items with nearly the same text: MinHash, banding, signature verification, connected components.
 
-Items with the same set of shingles are one class, of which one set is hashed, banded and compared. In each bucket the members are
-first compared with the bucket's least class (a star, not all pairs). A member alike to that needs no comparison with others that
-are: they are in one group already. Only members unlike the star's centre are compared with the whole bucket, so no
-link between groups is lost and a bucket full of copies costs as many comparisons as it has members.
+One pass reads the texts and writes each set's band keys and sketch, about a kilobyte an item; shingles are worked out again for
+the sets that meet another one in a bucket. In each bucket the members are first compared with the bucket's least set (a star, not all
+pairs). A member alike to that needs no comparison with others that are: they are in one group already. Only members
+unlike the star's centre are compared with the whole bucket, so no link between groups is lost and a bucket full of copies costs as
+many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.components import components
-from lodestack.runtime import cut
+from lodestack.runtime import broadcast_if_small, cut
 
 WORDS, LIKE = 3, 0.5
 #: At a likeness of 0.5 a pair misses all bands with a chance of (1 - 1/16)^128 = 0.0003; at 0.6, 0.00000002.
@@ -25,10 +26,10 @@ BANDS, ROWS = 128, 4
 #: Standard deviations of the one-bit estimate that verification allows below the threshold.
 SLACK = 5.0
 _WORD = re.compile(r"[^\W_]+")
-_U = np.uint64
+_U, _H = np.uint64, np.uint32
 _rng = np.random.default_rng(20_240)
-_A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=_U) | _U(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=_U)
+_A = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=_H) | _H(1)
+_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=_H)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,48 +58,55 @@ class _Shingler:
         return np.unique(out)
 
 
-def _sets(words: int):  # noqa: ANN202
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each universal hash function (a*x + b mod 2^32, x the upper half of a shingle) over the set."""
+    x = (shingles >> _U(32)).astype(_H)
+    out = np.full(BANDS * ROWS, 0xFFFFFFFF, _H)
+    for i in range(0, len(x), 64):  # so much stays in the cache
+        np.minimum(out, (x[i : i + 64, None] * _A + _B).min(axis=0), out=out)
+    return out
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64)))
+
+
+def _signed(words: int):  # noqa: ANN202
+    """Per item its set's number, band keys, and one bit of every minimum as the sketch for verification. Texts without a shingle are left out."""
+
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             shingle = _Shingler(words)
-            ids, offsets, parts, items = [], [0], [], []
+            ids, items, signatures = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 s = shingle(text)
                 if len(s):
                     items.append(i)
                     ids.append(xxhash.xxh3_64_intdigest(s.tobytes()))
-                    parts.append(s)
-                    offsets.append(offsets[-1] + len(s))
-            values = np.concatenate(parts) if parts else np.zeros(0, _U)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(items, pa.int64())), pa.array(np.array(ids, _U).view(np.int64)), lists], ["item", "set_id", "shingles"])
+                    signatures.append(signature(s))
+            sig = np.array(signatures, _H).reshape(len(items), BANDS, ROWS).astype(_U)
+            keys = np.broadcast_to(np.arange(BANDS, dtype=_U), (len(items), BANDS))
+            for row in range(ROWS):
+                keys = _mix(keys * _U(0x9E3779B97F4A7C15) + sig[:, :, row])
+            bits = (_mix(sig) & _U(1)).astype(np.uint8).reshape(len(items), BANDS * ROWS)
+            sketches = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(items, pa.int64())), pa.array(np.array(ids, _U).view(np.int64)), _lists(keys), _lists(sketches)], ["item", "set_id", "band_keys", "sketch"])
 
     return run
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each universal hash function (a*x + b mod 2^64, upper half) over the set."""
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, _U)
-    for i in range(0, len(shingles), 1024):
-        out = np.minimum(out, ((shingles[i : i + 1024, None] * _A + _B) >> _U(32)).min(axis=0))
-    return out
+def _shingled(words: int):  # noqa: ANN202
+    """set_id and shingles of texts."""
 
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            shingle = _Shingler(words)
+            sets = [s for text in batch.column("text").to_pylist() if len(s := shingle(text))]
+            offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            values = np.concatenate(sets) if sets else np.zeros(0, _U)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], _U).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], ["set_id", "shingles"])
 
-def _signed(batches):  # noqa: ANN001, ANN202
-    """Per set the band keys, and the lowest bit of every minimum as the sketch for verification."""
-    for batch in batches:
-        lists = batch.column("shingles")
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(_U)
-        keys, sketches = np.zeros((batch.num_rows, BANDS), _U), np.zeros((batch.num_rows, BANDS * ROWS // 64), np.int64)
-        for i in range(batch.num_rows):
-            sig = signature(values[offsets[i] : offsets[i + 1]])
-            key = np.arange(BANDS, dtype=_U)
-            for column in sig.reshape(BANDS, ROWS).T:
-                key = _mix(key * _U(0x9E3779B97F4A7C15) + column)
-            keys[i] = key
-            sketches[i] = np.packbits((sig & _U(1)).astype(np.uint8)).view(np.int64)
-        flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("set_id"), flat(keys), flat(sketches)], ["set_id", "band_keys", "sketch"])
+    return run
 
 
 def _agreeing(a: Column, b: Column) -> Column:
@@ -127,14 +135,18 @@ def near_duplicate_groups(items: DataFrame, item: str = "artifact_dir", words: i
     """
     texts = items.where(F.col(item).isNotNull() & F.col("text").isNotNull()).select(F.col(item).alias("item"), "text")
     item_type = dict(texts.dtypes)["item"]
-    found = cut(texts.mapInArrow(_sets(words), f"item {item_type}, set_id long, shingles array<long>"))
-    sets = cut(found.groupBy("set_id").agg(F.first("shingles").alias("shingles")))
-    signed = cut(sets.mapInArrow(_signed, "set_id long, band_keys array<long>, sketch array<long>"))
-    sketches = signed.select("set_id", "sketch")
+    signed = cut(texts.mapInArrow(_signed(words), f"item {item_type}, set_id long, band_keys array<long>, sketch array<long>"))
     bands = signed.select(F.explode("band_keys").alias("key"), "set_id")
-    shared = bands.groupBy("key").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("most"), F.count("*").alias("n")).where("centre != most")
-    members = cut(bands.join(shared, "key").select("key", "set_id", "centre", "n").where("set_id != centre"))
+    shared = cut(bands.groupBy("key").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("most"), F.count("*").alias("n")).where("centre != most").drop("most"))
+    met = bands.join(broadcast_if_small(shared, shared.count(), 40), "key").select("key", "set_id", "centre", "n")
+    members = cut(met.where("set_id != centre").distinct())
     star = members.select(F.col("centre").alias("a"), F.col("set_id").alias("b")).distinct()
+    wanted = cut(star.select(F.col("a").alias("set_id")).union(star.select("b")).distinct())
+    found = signed.select("item", "set_id")
+    ours = signed.join(broadcast_if_small(wanted, wanted.count(), 24), "set_id", "left_semi")
+    sketches = ours.groupBy("set_id").agg(F.first("sketch").alias("sketch"))
+    chosen = ours.groupBy("set_id").agg(F.min("item").alias("item")).select("item").distinct()
+    sets = cut(texts.join(chosen, "item", "left_semi").mapInArrow(_shingled(words), "set_id long, shingles array<long>").groupBy("set_id").agg(F.first("shingles").alias("shingles")))
     links = cut(_verified(star, sketches, sets, like))
     # Members unlike the centre of a bucket of three or more are compared with all others there.
     ours = members.where("n > 2").select("key", "set_id", "centre")
