@@ -38,20 +38,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
 class _Shingler:
     """Sets of runs of n consecutive words, as sorted 64-bit hashes; remembers word hashes within one batch."""
 
     def __init__(self, words: int) -> None:
-        self.n, self.known = words, {}
+        self.n, self.known = words, _Hashes()
 
     def __call__(self, text: str) -> np.ndarray:
         words = _WORD.findall(text.lower())
         if len(words) < self.n:
             return np.zeros(0, _U)
-        known = self.known
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in words], _U)
+        h = np.fromiter(map(self.known.__getitem__, words), _U, len(words))
         out = np.zeros(len(h) - self.n + 1, _U)
         for i in range(self.n):
             out = _mix(out * _U(0x9E3779B97F4A7C15) + h[i : i + len(out)])
@@ -116,12 +119,20 @@ def _agreeing(a: Column, b: Column) -> Column:
     return 1 - off / (BANDS * ROWS)
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, like: float) -> DataFrame:
-    """The pairs (a, b) of sets that are alike: by their signatures first, then exactly."""
+def _side(df: DataFrame, x: str) -> DataFrame:
+    return df.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "set_id"])
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, words: int, like: float) -> DataFrame:
+    """The pairs (a, b) of sets that are alike: by their sketches first, then by the shingles of those that pass. signed: item, set_id, sketch. texts: item, text."""
     floor = (1 + like) / 2 - SLACK * float(np.sqrt((1 + like) * (1 - like) / 4 / (BANDS * ROWS)))
-    side = lambda df, x: df.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "set_id"])
-    near = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(_agreeing(F.col("a_sketch"), F.col("b_sketch")) >= floor).select("a", "b")
-    both = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+    ends = lambda p: p.select(F.col("a").alias("set_id")).union(p.select("b")).distinct()
+    known = signed.join(ends(pairs), "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct("item", "sketch")).alias("x")).select("set_id", "x.item", "x.sketch")
+    sketches = cut(known)
+    near = cut(pairs.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").where(_agreeing(F.col("a_sketch"), F.col("b_sketch")) >= floor).select("a", "b"))
+    chosen = sketches.join(ends(near), "set_id", "left_semi").select("item").distinct()
+    sets = cut(texts.join(chosen, "item", "left_semi").mapInArrow(_shingled(words), "set_id long, shingles array<long>").groupBy("set_id").agg(F.first("shingles").alias("shingles")))
+    both = near.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     return both.withColumn("common", common).where(F.col("common") >= like * (F.size("a_shingles") + F.size("b_shingles") - F.col("common"))).select("a", "b")
 
@@ -141,18 +152,13 @@ def near_duplicate_groups(items: DataFrame, item: str = "artifact_dir", words: i
     met = bands.join(broadcast_if_small(shared, shared.count(), 40), "key").select("key", "set_id", "centre", "n")
     members = cut(met.where("set_id != centre").distinct())
     star = members.select(F.col("centre").alias("a"), F.col("set_id").alias("b")).distinct()
-    wanted = cut(star.select(F.col("a").alias("set_id")).union(star.select("b")).distinct())
     found = signed.select("item", "set_id")
-    ours = signed.join(broadcast_if_small(wanted, wanted.count(), 24), "set_id", "left_semi")
-    sketches = ours.groupBy("set_id").agg(F.first("sketch").alias("sketch"))
-    chosen = ours.groupBy("set_id").agg(F.min("item").alias("item")).select("item").distinct()
-    sets = cut(texts.join(chosen, "item", "left_semi").mapInArrow(_shingled(words), "set_id long, shingles array<long>").groupBy("set_id").agg(F.first("shingles").alias("shingles")))
-    links = cut(_verified(star, sketches, sets, like))
+    links = cut(_verified(star, signed, texts, words, like))
     # Members unlike the centre of a bucket of three or more are compared with all others there.
     ours = members.where("n > 2").select("key", "set_id", "centre")
     unlike = ours.join(links, (F.col("centre") == F.col("a")) & (F.col("set_id") == F.col("b")), "left_anti").select("key", F.col("set_id").alias("x"))
     rest = unlike.join(ours.select("key", F.col("set_id").alias("y")), "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _verified(rest.join(links, ["a", "b"], "left_anti"), sketches, sets, like)
+    more = _verified(rest.join(links, ["a", "b"], "left_anti"), signed, texts, words, like)
     # An item of two sets ties them.
     tied = found.groupBy("item").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a != b")
     both = found.join(tied.select("item", "a"), "item").where("set_id != a").select("a", F.col("set_id").alias("b"))
