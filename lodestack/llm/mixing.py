@@ -103,5 +103,5 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
 
 
 def unmet(report: DataFrame) -> DataFrame:
-    """mix_id and source of the targets that cannot be met."""
-    return report.where(~F.col("feasible")).select("mix_id", "source")
+    """mix_id and source of the targets that the schedule did not fill, all rounds of their sources used up."""
+    return report.where(F.col("taken_tokens") < F.col("wanted_tokens")).select("mix_id", "source")

@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity: variable-capacity best-fit.
 
-Items are dealt to blocks by the hash of their key and each block is packed by itself, all jobs at once, so that only (key,
-size) travels and no task holds more than BLOCK_ROWS items; a block costs at most about one badly filled bin per job.
+Items are dealt evenly to blocks, whatever their keys, and each block is packed by itself, all jobs at once, so that only (key,
+size) travels and no task holds many more than BLOCK_ROWS items; a block costs at most about one badly filled bin per job.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.small import control_rows
 
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 10_000
 #: The permitted sequence lengths as shares of a job's capacity.
 LENGTHS = (0.125, 0.25, 0.5, 0.75, 1.0)
 _OUT = "job_id int, doc_id long, piece int, piece_start long, piece_tokens long, bin_id long, bin_start long, bin_tokens long"
@@ -90,13 +90,18 @@ def pack(documents: DataFrame, jobs: DataFrame, block_rows: int = BLOCK_ROWS) ->
     if not todo:
         return items.sparkSession.createDataFrame([], _OUT)
     blocks = max(1, -(-items.count() // block_rows))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    # The row's place in the files tells repeated and NULL keys apart.
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)))
     return dealt.groupBy("block").applyInArrow(lambda tab: _pack(tab, todo), _OUT)
 
 
 def split_documents(packed: DataFrame) -> DataFrame:
-    """job_id and doc_id of the documents that were cut."""
-    return packed.where(F.col("piece") > 0).select("job_id", "doc_id").distinct()
+    """job_id and doc_id of the documents of which pieces were put into more than one bin.
+
+    A row that occurs twice lies in two bins without being cut; only documents with a second piece count.
+    """
+    by = packed.groupBy("job_id", "doc_id").agg(F.min("bin_id").alias("lo"), F.max("bin_id").alias("hi"), F.max("piece").alias("piece"))
+    return by.where((F.col("lo") < F.col("hi")) & (F.col("piece") > 0)).select("job_id", "doc_id")
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

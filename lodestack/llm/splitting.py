@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.small import control_rows
+from lodestack.runtime import broadcast_if_small, cut
 
 DEFAULT_LIMIT, DEFAULT_OVERLAP = 12_000, 500
 #: Boundary kinds, strongest first: what must stand before the cut, and the penalty. A cut inside a word costs HARD.
@@ -105,7 +106,12 @@ def split(items: DataFrame, profiles: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["artifact_dir", "config_id", "piece", "piece_start", "piece_end", "piece_text"])
 
     long = items.select("artifact_dir", "text").where(F.length("text") > min(limit for _, limit, _ in todo))
-    return long.distinct().mapInPandas(cut_all, _OUT)
+    # Only rows whose hash occurs again are shuffled to find out which are the same.
+    keyed = long.withColumn("hash", F.xxhash64("artifact_dir", "text"))
+    again = cut(keyed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    again = broadcast_if_small(again, again.count(), 16)
+    once = keyed.join(again, "hash", "left_anti").drop("hash")
+    return once.unionByName(keyed.join(again, "hash", "left_semi").drop("hash").distinct()).mapInPandas(cut_all, _OUT)
 
 
 def cut_items(pieces: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def test_shares_and_repeats(spark):
     for s, share in (("big", 0.5), ("mid", 0.3), ("small", 0.2)):
         assert r[1, s].feasible and abs(r[1, s].actual_share - share) < 0.002
     assert not r[2, "small"].feasible and r[2, "small"].taken_tokens == r[2, "small"].available_tokens
-    assert rows(M.unmet(report)) == [(2, "small")]
+    assert rows(M.unmet(report)) == [(2, "small")] == rows(report.where("NOT feasible").select("mix_id", "source"))
     assert records.groupBy("mix_id", "doc_id").count().agg({"count": "max"}).first()[0] == 3
     assert records.select("mix_id", "source", "doc_id", "repeat").distinct().count() == records.count()
 
