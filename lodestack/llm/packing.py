@@ -17,7 +17,7 @@ from lodestack.llm.small import control_rows
 
 BLOCK_ROWS = 10_000
 #: The permitted sequence lengths as shares of a job's capacity.
-LENGTHS = (0.125, 0.25, 0.5, 0.75, 1.0)
+LENGTHS = tuple(k / 8 for k in range(1, 9))
 _OUT = "job_id int, doc_id long, piece int, piece_start long, piece_tokens long, bin_id long, bin_start long, bin_tokens long"
 
 
