@@ -17,13 +17,16 @@ def age_days(seen: Column, now: Column) -> Column:
     return F.greatest(F.lit(0.0), F.coalesce((F.unix_micros(now) - F.unix_micros(seen)) / 86_400_000_000, F.lit(0.0)))
 
 
-def freshness(age: Column, horizon: int = 730) -> Column:
-    """1 falling to 0 at the horizon."""
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age / horizon)), 3)
+def freshness(age: Column, horizon: int = 730, archived: Column | None = None) -> Column:
+    """1 falling to 0 at the horizon; 0 where archived."""
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age / horizon)), 3)
+    return score if archived is None else F.when(archived, 0.0).otherwise(score)
 
 
-def freshness_state(age: Column, aging: int = 180, stale: int = 365) -> Column:
-    return F.when(age >= stale, "STALE").when(age >= aging, "AGING").otherwise("FRESH")
+def freshness_state(age: Column, aging: int = 180, stale: int = 365, archived: Column | None = None) -> Column:
+    """ARCHIVED where a reviewer said so, whatever the age; NULL there says nothing."""
+    kept = F.coalesce(archived, F.lit(False)) if archived is not None else F.lit(False)
+    return F.when(kept, "ARCHIVED").when(age >= stale, "STALE").when(age >= aging, "AGING").otherwise("FRESH")
 
 
 def period(t: Column, interval: str) -> Column:

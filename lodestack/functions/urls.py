@@ -40,7 +40,7 @@ def is_local(url: Column) -> Column:
 
 def normalize_mailto(url: Column) -> Column:
     """Lower-case addresses without headers."""
-    body = F.split_part(F.substring(url, 8, 10_000), F.lit("?"), F.lit(1))
+    body = F.split_part(F.substring(url, F.lit(8), F.length(url)), F.lit("?"), F.lit(1))
     each = F.transform(F.filter(F.split(body, ","), lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(F.coalesce(F.try_url_decode(x), x))))
     return F.concat(F.lit("mailto:"), F.array_join(each, ","))
 
@@ -71,8 +71,8 @@ def normalize_url(raw: Column) -> Column:
     return F.when(is_mailto(url), normalize_mailto(url)).when(is_local(url), normalize_file(url)).when(p["scheme"] == "", url).otherwise(whole)
 
 
-def target_system(url: Column) -> Column:
-    """The system an address belongs to; the first rule that holds."""
+def target_system(url: Column, systems: dict[str, list[str]] | None = None) -> Column:
+    """The system an address belongs to; the first rule that holds. systems: further systems by parts of their hosts, asked last and in order."""
     p = parts(url)
     h, w = p["host"], F.lower(p["path"])
     pages = _has(w, ["/wiki/", "/display/"])
@@ -87,10 +87,15 @@ def target_system(url: Column) -> Column:
         .when(h.startswith("confluence.") | h.contains(".confluence.") | pages, "confluence")
         .when((h == "github.com") | h.endswith(".github.com"), "github")
         .when(h.contains("teams.microsoft.com") | _has(w, ["/l/message/", "/l/channel/", "/l/meetup-join/"]), "teams")
-        .otherwise("external_web")
+        .otherwise(system_for_host(h, systems or {}, "external_web"))
     )
 
 
+def system_for_host(host: Column, systems: dict[str, list[str]], otherwise: str | None = None) -> Column:
+    """The first of the configured systems of which a domain is part of the host."""
+    return F.coalesce(*[F.when(_has(F.lower(host), [d.lower() for d in domains]), name) for name, domains in systems.items() if domains], F.lit(otherwise))
+
+
 def target_type(url: Column, system: Column) -> Column:
     """The kind of thing within its system."""
     w = F.lower(parts(url)["path"])

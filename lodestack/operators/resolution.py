@@ -1,7 +1,8 @@
 """Entity resolution: mentions to clusters, similar names, canonical names, ids and resolved relationships.
 
-Names whose similarity reaches a threshold above one half share a key token, so pairs come from an equi-join on (type, token)
-and are scored exactly; no name meets every other, and nothing above the threshold is lost.
+Names whose similarity reaches a threshold t above one half either share 2t - 1 of their key tokens or one has all of the other's. So one of
+the rarest tokens of one of them, as many as may be missing and one more, is a token of the other: pairs come from an equi-join of these few with
+all tokens, and are scored exactly. A token that many names have is joined only for names that have no rarer one, and nothing above the threshold is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +32,15 @@ def _ids(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode("tokens").alias("token"), *(["kind"] if "kind" in df.columns else []))
 
 
+def _rarest(ours: DataFrame, all_tokens: DataFrame, by: list[str], least: float) -> DataFrame:
+    """Of each id's tokens the rarest among all, as many as a name alike by `least` may lack and one more."""
+    often = all_tokens.groupBy(*by).agg(F.count("*").alias("often"))
+    own = Window.partitionBy("id")
+    ranked = ours.join(often, by, "left").withColumns({"rank": F.row_number().over(own.orderBy(F.coalesce("often", F.lit(0)), "token")), "size": F.count("*").over(own)})
+    # Rounding in the score must not cost a token.
+    return ranked.where(F.col("rank") <= F.col("size") - F.ceil((2 * least - 1) * F.col("size") - 1e-4) + 1).drop("often", "rank", "size")
+
+
 def blocked_pairs(reps: DataFrame, least: float) -> DataFrame:
     """l_id < r_id and score of representatives (id, kind, name) of one kind that score at least `least` (above 0.5).
 
@@ -38,7 +48,9 @@ def blocked_pairs(reps: DataFrame, least: float) -> DataFrame:
     """
     p = prepared(reps.select("id", "kind", "name"))
     t = _ids(p)
-    pairs = t.select("kind", "token", F.col("id").alias("l_id")).join(t.select("kind", "token", F.col("id").alias("r_id")), ["kind", "token"]).where("l_id < r_id").select("l_id", "r_id").distinct()
+    rare = _rarest(t, t, ["kind", "token"], least)
+    met = rare.select("kind", "token", F.col("id").alias("x")).join(t.select("kind", "token", F.col("id").alias("y")), ["kind", "token"]).where("x <> y")
+    pairs = met.select(F.least("x", "y").alias("l_id"), F.greatest("x", "y").alias("r_id")).distinct()
     q = p.drop("kind", "name")
     return pairs.join(_side(q, "l"), "l_id").join(_side(q, "r"), "r_id").select("l_id", "r_id", F.round(_score(), 6).alias("score")).where(F.col("score") >= least)
 
@@ -46,7 +58,9 @@ def blocked_pairs(reps: DataFrame, least: float) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """a, b, score of names of one frame with names of another (columns name), by shared tokens."""
     a, b = prepared(left.select("name").distinct()), prepared(right.select("name").distinct())
-    pairs = a.select("name", F.explode("tokens").alias("token")).join(b.select(F.col("name").alias("other"), F.explode("tokens").alias("token")), "token").select(F.col("name").alias("l_name"), F.col("other").alias("r_name")).distinct()
+    ta, tb = (x.select(F.col("name").alias("id"), F.explode("tokens").alias("token")) for x in (a, b))
+    l, r = F.col("id").alias("l_name"), F.col("id").alias("r_name")
+    pairs = _rarest(ta, tb, ["token"], least).select("token", l).join(tb.select("token", r), "token").union(ta.select("token", l).join(_rarest(tb, ta, ["token"], least).select("token", r), "token").select("token", "l_name", "r_name")).select("l_name", "r_name").distinct()
     return pairs.join(_side(a, "l"), "l_name").join(_side(b, "r"), "r_name").select(F.col("l_name").alias("a"), F.col("r_name").alias("b"), F.round(_score(), 6).alias("score")).where(F.col("score") >= least)
 
 
@@ -96,12 +110,25 @@ def cross_kind(reps: DataFrame) -> DataFrame:
     return b.select("norm", F.col("kind").alias("l_kind")).join(b.select("norm", F.col("kind").alias("r_kind")), "norm").where("l_kind < r_kind")
 
 
+def resolved_ends(ends: DataFrame, surface: DataFrame, least: float = names.MERGE) -> DataFrame:
+    """norm and object_id of ends (column name): by equal normal form, else the most similar surface from `least` on; the least object_id on ties.
+
+    Only the distinct ends without an equal form are compared.
+    """
+    known = surface.where("norm <> ''").groupBy("norm").agg(F.min("object_id").alias("object_id"))
+    asked = ends.select(names.normalize_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
+    open_ = asked.join(known, "norm", "left_anti").select(F.col("norm").alias("name"))
+    near = similar_pairs(open_, known.select(F.col("norm").alias("name")), least).join(known.withColumnRenamed("norm", "b"), "b")
+    best = near.groupBy(F.col("a").alias("norm")).agg(F.min_by("object_id", F.struct(-F.col("score"), F.col("object_id"))).alias("object_id"))
+    return asked.join(known, "norm").select("norm", "object_id").unionByName(best)
+
+
 def resolve_relationships(raw: DataFrame, surface: DataFrame) -> DataFrame:
     """Triples of objects out of raw (subject, predicate, object, confidence, quote, seq) by surface (norm, object_id): best confidence, and the first three quotes by seq.
 
-    Rows with an end that is not known, or both ends on one object, are left out. Surfaces of several objects take the first by id.
+    Ends are known by their normal form or by a similar one. Rows with an end that is not known, or both ends on one object, are left out.
     """
-    known = surface.groupBy("norm").agg(F.min("object_id").alias("object_id"))
+    known = resolved_ends(raw.select(F.col("subject").alias("name")).union(raw.select("object")), surface)
     s = raw.withColumn("norm", names.normalize_name(F.col("subject"))).join(known.withColumnRenamed("object_id", "source"), "norm").drop("norm")
     o = s.withColumn("norm", names.normalize_name(F.col("object"))).join(known.withColumnRenamed("object_id", "target"), "norm").where("source <> target")
     # Three least by place, kept while combining, so a triple said a million times gathers three quotes.

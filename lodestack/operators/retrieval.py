@@ -54,13 +54,18 @@ def _small(df: DataFrame, what: str) -> DataFrame:
 
 
 def focus_terms(questions: DataFrame, labels: DataFrame) -> DataFrame:
-    """question, label, position of the labels a question holds, but those inside a longer one it holds too. Labels stream past the few questions."""
+    """question, label, position of the labels a question holds, but those inside a longer one it holds too, and of what it has in quotes. Labels stream past the few questions."""
     q = _small(questions.select("question").distinct(), "questions")
     hit = labels.select("label").where("label <> ''").distinct().join(q, F.lower("question").contains(F.lower("label"))).withColumn("position", F.expr("instr(lower(question), lower(label))") - 1)
     hit = cut(hit)
     longer = hit.select(F.col("question").alias("q2"), F.col("label").alias("l2"))
     inside = (F.col("question") == F.col("q2")) & (F.lower("l2") != F.lower("label")) & F.lower("l2").contains(F.lower("label"))
-    return hit.join(longer, inside, "left_anti")
+    kept = hit.join(longer, inside, "left_anti")
+    # Between the marks lie the parts with odd numbers, of '"' and of "'"; a phrase that is a label already is not named twice.
+    spans = F.concat(*[F.transform(F.filter(F.transform(F.split("question", mark), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["i"] % 2 == 1), lambda p: F.trim(p["x"])) for mark in ('"', "'")])
+    said = q.select("question", F.explode(F.array_distinct(F.filter(spans, lambda x: x != ""))).alias("label")).withColumn("position", F.expr("instr(lower(question), lower(label))") - 1)
+    named = kept.select(F.col("question").alias("q2"), F.lower("label").alias("l2"))
+    return kept.unionByName(said.join(named, (F.col("question") == F.col("q2")) & (F.lower("label") == F.col("l2")), "left_anti"))
 
 
 def resolve_terms(terms: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -77,20 +77,11 @@ def _graph_of(li):  # noqa: ANN001, ANN202
     return v, e
 
 
-def _nodes(spark, d):  # noqa: ANN001, ANN202
-    """A graph of several components: parts of a size tied to suppliers that returned some."""
-    return _graph_of(table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49 AND l_discount >= 0.09"))
-
-
 def _part_orders(spark, d):  # noqa: ANN001, ANN202
     """The graph of all parts and the orders they are in."""
     return _graph_of(table(spark, d, "lineitem"))
 
 
-NODES = """e AS (SELECT 'part/' || l_partkey AS source, 'related_to' AS predicate, 'order/' || l_orderkey AS target FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 AND l_discount >= 0.09),
-sym AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), v AS (SELECT DISTINCT a AS id FROM sym)"""
-
-
 QUERIES = {
     "graph_triples": Query(lambda s, d: _triples(s, d).where("p <> 'confidence'"), f"WITH {TRIPLES} SELECT s, p, o FROM t"),
     "graph_named_nations": _kind("Nation"),
@@ -141,26 +132,20 @@ QUERIES = {
         lambda s, d: G.ego(S.hierarchy(s, d), _seed(s, FAR), 2), f"{REACH} SELECT source, predicate, target FROM h WHERE source IN (SELECT id FROM r WHERE dist <= 2) AND target IN (SELECT id FROM r WHERE dist <= 2)"
     ),
     "graph_shortest_path": Query(
-        lambda s, d: G.shortest_path(S.hierarchy(s, d), FAR, "region/0").agg(F.max("step").alias("length")),
-        f"WITH RECURSIVE {BOTH}, w AS (SELECT '{FAR}' AS id, 0 AS dist UNION SELECT sym.b, w.dist + 1 FROM w JOIN sym ON w.id = sym.a WHERE w.dist < 5) SELECT min(dist) AS length FROM w WHERE id = 'region/0'",
-    ),
-    "graph_components": Query(
-        lambda s, d: (lambda v, e: G.component_of(e, v))(*_nodes(s, d)),
-        f"WITH RECURSIVE {NODES}, w AS (SELECT id, id AS reached FROM v UNION SELECT w.id, sym.b FROM w JOIN sym ON w.reached = sym.a) SELECT id, min(reached) AS component FROM w GROUP BY id",
-    ),
-    # The whole table; the SQL of graph_components and graph_summary holds those to 0.2 % of it.
-    "graph_components_whole": Query(lambda s, d: (lambda v, e: G.component_of(e, v))(*_part_orders(s, d))),
-    "graph_summary_whole": Query(lambda s, d: (lambda v, e: G.summary(e, v))(*_part_orders(s, d))),
+        lambda s, d: G.shortest_path(S.hierarchy(s, d), FAR, "region/0"),
+        # Least parents from the goal backwards, along the distances from the start.
+        f"""WITH RECURSIVE {BOTH}, w AS (SELECT '{FAR}' AS id, 0 AS dist UNION SELECT sym.b, w.dist + 1 FROM w JOIN sym ON w.id = sym.a WHERE w.dist < 6), r AS (SELECT id, min(dist) AS dist FROM w GROUP BY id),
+p AS (SELECT r.id, r.dist, min(q.id) AS parent FROM r JOIN sym ON sym.b = r.id JOIN r q ON q.id = sym.a AND q.dist = r.dist - 1 GROUP BY 1, 2),
+b AS (SELECT id, dist, parent FROM p WHERE id = 'region/0' UNION ALL SELECT p.id, p.dist, p.parent FROM b JOIN p ON p.id = b.parent)
+SELECT dist AS step, id FROM b UNION ALL SELECT 0, '{FAR}' WHERE EXISTS (SELECT 1 FROM b)""",
+    ),
+    # The whole table is too much for recursive SQL; brute force on small graphs is in the tests.
+    "graph_components": Query(lambda s, d: (lambda v, e: G.component_of(e, v))(*_part_orders(s, d))),
+    "graph_summary": Query(lambda s, d: (lambda v, e: G.summary(e, v))(*_part_orders(s, d))),
     "graph_degree_metrics": Query(
         lambda s, d: (lambda v, e: G.degrees(e, v))(*_ve(s, d)),
         f"""WITH {BOTH}, s AS (SELECT DISTINCT source, target FROM h), d AS (SELECT id, (SELECT count(*) FROM s WHERE target = v.id) AS in_degree, (SELECT count(*) FROM s WHERE source = v.id) AS out_degree FROM v)
 SELECT id, in_degree, out_degree, in_degree + out_degree AS degree, round((in_degree + out_degree) / ((SELECT count(*) FROM v) - 1), 6) AS centrality FROM d""",
-    ),
-    "graph_summary": Query(
-        lambda s, d: (lambda v, e: G.summary(e, v))(*_nodes(s, d)),
-        f"""WITH RECURSIVE {NODES}, w AS (SELECT id, id AS reached FROM v UNION SELECT w.id, sym.b FROM w JOIN sym ON w.reached = sym.a), c AS (SELECT id, min(reached) AS component FROM w GROUP BY id),
-m AS (SELECT count(*) AS edges FROM (SELECT DISTINCT source, target FROM e)), n AS (SELECT count(*) AS vertices FROM v)
-SELECT vertices, edges, round(edges / (vertices * (vertices - 1)), 8) AS density, (SELECT count(DISTINCT component) FROM c) AS components FROM m, n""",
     ),
     "graph_by_kind": Query(
         lambda s, d: (lambda v, e: G.by_kind(e, v).select("kind", "vertices", "edges", "top"))(*_ve(s, d)),
@@ -169,6 +154,6 @@ r AS (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY count(*) DE
 n AS (SELECT kind, count(*) AS vertices FROM v GROUP BY kind), m AS (SELECT kind, count(DISTINCT e) AS edges FROM k GROUP BY kind)
 SELECT n.kind, vertices, coalesce(edges, 0) AS edges, coalesce(top, '') AS top FROM n LEFT JOIN m ON n.kind = m.kind LEFT JOIN g ON n.kind = g.kind""",
     ),
-    "graph_betweenness": Query(lambda s, d: G.betweenness(_nodes(s, d)[1]).select("id", F.round("betweenness", 4).alias("betweenness"))),
-    "graph_communities": Query(lambda s, d: G.communities(_nodes(s, d)[1])),
+    "graph_betweenness": Query(lambda s, d: G.betweenness(S.hierarchy(s, d)).select("id", F.round("betweenness", 4).alias("betweenness"))),
+    "graph_communities": Query(lambda s, d: G.communities(S.hierarchy(s, d))),
 }

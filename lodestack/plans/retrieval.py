@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import measures
 from lodestack.operators import documents as D
 from lodestack.operators import evaluation as E
+from lodestack.operators import formulas
 from lodestack.operators import retrieval as R
 from lodestack.plans import substrate as S
 from lodestack.plans.catalog import FILES, files
@@ -14,6 +15,10 @@ from lodestack.plans.registry import Query
 from lodestack.plans.semantic import ROWS
 from lodestack.runtime import table
 
+# Written out here, so that the SQL doesn't follow the operator's table.
+ENDINGS = [x.split() for x in """py python, pyi python, js javascript, jsx javascript, mjs javascript, cjs javascript, ts typescript, tsx tsx, go go, rs rust, java java, c c, h c,
+cc cpp, cpp cpp, cxx cpp, hpp cpp, hh cpp, hxx cpp, cs c_sharp, rb ruby, php php, sh bash, bash bash""".split(",")]
+
 QUESTIONS = [
     "How does Supplier#000000001 depend on NATION_1?",
     "Compare NATION_10 with NATION_2, please.",
@@ -128,9 +133,15 @@ SELECT conv, turn, CASE WHEN refers AND o IS NULL THEN coalesce(p, '') ELSE coal
     ),
     "doc_languages": Query(
         lambda s, d: files(s, d).withColumn("language", D.language(F.col("filename"))).groupBy("language").agg(F.count("*").alias("n")),
-        f"WITH {FILES}, x AS (SELECT lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM files) SELECT CASE e " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.LANGUAGES.items()) + " END AS language, count(*) AS n FROM x GROUP BY 1",
+        f"WITH {FILES}, x AS (SELECT lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM files) SELECT CASE e " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENDINGS) + " END AS language, count(*) AS n FROM x GROUP BY 1",
+    ),
+    "doc_formulas": Query(
+        lambda s, d: formulas.formulas(table(s, d, "part").select("p_partkey", F.concat(F.lit("sqrt("), F.regexp_replace("p_name", " ", "_"), F.lit(") * "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 5 == 0, ".real").otherwise(" + pi")).alias("formula")), "p_partkey", "formula").select("p_partkey", "valid", "function_code", "ast_json", "variables"),
+        """WITH x AS (SELECT p_partkey, replace(p_name, ' ', '_') AS v, p_size::VARCHAR AS n, p_size % 5 <> 0 AS ok FROM part)
+SELECT p_partkey, ok AS valid, CASE WHEN ok THEN 'def evaluate(' || v || '):' || chr(10) || '    return sqrt(' || v || ') * ' || n || ' + pi' ELSE '' END AS function_code,
+CASE WHEN ok THEN '{"op":"Add","left":{"op":"Mult","left":{"call":"sqrt","args":[{"var":"' || v || '"}]},"right":{"const":' || n || '}},"right":{"var":"pi"}}' ELSE '' END AS ast_json,
+CASE WHEN ok THEN '["' || v || '"]' ELSE '[]' END AS variables FROM x""",
     ),
-    "doc_formulas": Query(lambda s, d: D.formulas(table(s, d, "part").select("p_partkey", F.concat(F.lit("sqrt("), F.regexp_replace("p_name", " ", "_"), F.lit(") * "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 5 == 0, ".real").otherwise(" + pi")).alias("formula")), "p_partkey", "formula")),
     "eval_prf1": Query(
         lambda s, d: E.prf1(_domains(s, d).where("model = 'wide-reader'").select("document_type"), _domains(s, d).where("model = 'tiny-reader' AND type_confidence > 0.8").select("document_type"), ["document_type"]),
         f"""WITH {ROWS}, p AS (SELECT DISTINCT document_type AS k FROM c WHERE model = 'wide-reader'), g AS (SELECT DISTINCT document_type AS k FROM c WHERE model = 'tiny-reader' AND type_confidence > 0.8),

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir; on local masters without one, a temporary folder.
 
-    A cluster without the setting gets a folder beside its warehouse, which its executors share.
+    A cluster without the setting is refused: no other folder is known to be shared by its executors.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
@@ -32,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             named = tempfile.mkdtemp(prefix="lodestack-")
             atexit.register(shutil.rmtree, named, True)
         else:
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named)
 
 

@@ -1,6 +1,7 @@
 """Core operators on small fixtures: golden values, awkward rows, brute force."""
 
 import itertools
+import json
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from lodestack.functions import names, times, urls
-from lodestack.operators import documents, evaluation, exports, graph, history, resolution, retrieval, scan, semantic
+from lodestack.operators import documents, evaluation, exports, formulas, graph, history, resolution, retrieval, scan, semantic
 from lodestack.operators.components import components
 from lodestack.operators.links import extract_links, url_key
 from lodestack.plans import graph as graph_plans
@@ -211,16 +212,14 @@ def _line_items(spark, folder, items):
 def test_drift_of_whole_tables(spark, tmp_path):
     d = _line_items(spark, tmp_path, [(1, o, 3, "1999-05-05") for o in range(5)] + [(2, 9, 3, "2000-05-05")])
     q = history_plans.QUERIES
-    assert rows(q["gov_drift"].run(spark, d)) == []
-    assert rows(q["gov_drift_whole"].run(spark, d)) == [("removed", "bolt/A", ""), ("terminology_change", "bolt/A", "nut/A")]
+    assert rows(q["gov_drift"].run(spark, d)) == [("removed", "bolt/A", ""), ("terminology_change", "bolt/A", "nut/A")]
 
 
 def test_components_of_whole_tables(spark, tmp_path):
     d = _line_items(spark, tmp_path, [(1, 1, 3, "1999-05-05"), (1, 2, 3, "1999-05-05"), (2, 3, 3, "1999-05-05")])
     q = graph_plans.QUERIES
-    assert rows(q["graph_components"].run(spark, d)) == []
-    assert rows(q["graph_components_whole"].run(spark, d)) == [("order/1", "order/1"), ("order/2", "order/1"), ("order/3", "order/3"), ("part/1", "order/1"), ("part/2", "order/3")]
-    assert tuple(q["graph_summary_whole"].run(spark, d).first()) == (5, 3, 0.15, 2)
+    assert rows(q["graph_components"].run(spark, d)) == [("order/1", "order/1"), ("order/2", "order/1"), ("order/3", "order/3"), ("part/1", "order/1"), ("part/2", "order/3")]
+    assert tuple(q["graph_summary"].run(spark, d).first()) == (5, 3, 0.15, 2)
 
 
 def test_changed_triples(spark):
@@ -239,9 +238,14 @@ def test_terms(spark, small):
 def test_clauses_and_formulas():
     assert documents.clauses("Design in accordance with clause 6.2 and 6.3; see 7.3.1.") == ["6.2", "6.3", "7.3.1"]
     assert documents.clauses("1.5 and 2.0") == documents.clauses(None) == []
-    assert documents.check_formula("sqrt(a*x) + pi * b") == (True, ["a", "b", "x"], "")
-    for bad in ("__import__('os')", "a.b", "open('x')", "lambda: 1", "", None, "a +", "max(a, key=b)", "'text'"):
-        assert not documents.check_formula(bad)[0]
+    good = formulas.analyse("sqrt(a*x) + pi * b", "V_Rd,c")
+    assert good.valid and good.variables == ("a", "b", "x") and good.function_code == "def V_Rd_c(a, b, x):\n    return sqrt(a*x) + pi * b"
+    assert json.loads(good.ast_json)["right"] == {"op": "Mult", "left": {"var": "pi"}, "right": {"var": "b"}}
+    for bad in ("__import__('os')", "a.b", "open('x')", "lambda: 1", "", None, "a +", "max(a, key=b)", "a @ b", "a in b", "a is b", "~a", "a << b", "[a]", "(" * 400 + ")" * 400):
+        assert not formulas.analyse(bad).valid and formulas.analyse(bad).note
+    for fine in ("sinh(x)", "atan2(y, x)", "log2(n) + hypot(a, b)", "degrees(a) if a > 0 and not b else -a ** 2 % 3 // 1", "a < b <= c != d"):
+        assert formulas.analyse(fine).valid
+    assert formulas.analyse(None, None, "def f(x):\n    return x + 1").expression == "x + 1"
 
 
 def test_measures_of_nothing(spark):
@@ -311,3 +315,43 @@ def test_prf_by_hand(spark):
     a, b = spark.createDataFrame([(i,) for i in (1, 2, 3, 3)], "k int"), spark.createDataFrame([(i,) for i in (2, 3, 4)], "k int")
     assert tuple(evaluation.prf1(a, b, ["k"]).first()) == (2, 0.666667, 0.666667, 0.666667)
     assert list(itertools.islice(a.columns, 1)) == ["k"]
+
+
+def test_paths_have_no_longest(spark):
+    e = spark.createDataFrame([(f"n{i:02}", "p", f"n{i + 1:02}") for i in range(34)], "source string, predicate string, target string")
+    assert graph.shortest_path(e, "n00", "n34").count() == 35
+
+
+def test_rare_tokens_find_all_similar_names(spark):
+    rng = random.Random(5)
+    words = ["pump", "valve", "steel", "grade", "a", "b", "old", "new", "main", "spare"]
+    names_ = sorted({" ".join(rng.sample(words, rng.randrange(1, 6))) for _ in range(90)})
+    df = spark.createDataFrame([(f"i{k}", "K", n) for k, n in enumerate(names_)], "id string, kind string, name string")
+    p = resolution.prepared(df)
+    every = resolution._side(p, "l").crossJoin(resolution._side(p, "r")).where("l_id < r_id").select("l_id", "r_id", F.round(resolution._score(), 6).alias("score")).where("score >= 0.88")
+    assert rows(resolution.blocked_pairs(df, 0.88)) == rows(every) != []
+    left, right = df.where("id < 'i5'"), df.where("id >= 'i5'")
+    both = every.join(df.select(F.col("id").alias("l_id"), F.col("name").alias("ln")), "l_id").join(df.select(F.col("id").alias("r_id"), F.col("name").alias("rn")), "r_id")
+    wanted = {tuple(sorted((r.ln, r.rn))) for r in both.collect() if (r.l_id < "i5") != (r.r_id < "i5")}
+    assert {tuple(sorted((r.a, r.b))) for r in resolution.similar_pairs(left, right, 0.88).collect()} == wanted
+
+
+def test_ends_resolve_by_likeness(spark):
+    surface = spark.createDataFrame([("release governance board", "o1"), ("customer data", "o2"), ("", "o3")], "norm string, object_id string")
+    ends = spark.createDataFrame([("Release Governance Board!",), ("Governance Board Release Plan",), ("Customer Data Platform",), ("nothing alike",), (None,), ("",)], "name string")
+    got = dict(rows(resolution.resolved_ends(ends, surface)))
+    assert got["release governance board"] == "o1" and got["governance board release plan"] == "o1" and got["customer data platform"] == "o2" and len(got) == 3
+
+
+def test_focus_terms_keep_quotes(spark):
+    q = spark.createDataFrame([('What is "Change Window" and \'Release Plan\' for Release?',), ("nothing",)], "question string")
+    labels = spark.createDataFrame([("Release",), ("release plan",)], "label string")
+    assert sorted(r.label for r in retrieval.focus_terms(q, labels).collect()) == ["Change Window", "release plan"]
+
+
+def test_archived_configured_and_reviewed(spark):
+    from lodestack.functions import measures
+
+    one, lit = spark.range(1), F.lit
+    r = one.select(times.freshness_state(lit(10.0), archived=lit(True)).alias("a"), times.freshness(lit(10.0), archived=lit(True)).alias("f"), urls.target_system(lit("https://wiki.acme.test/x"), {"intranet": ["acme.test"]}).alias("s"), urls.target_system(lit("https://other.test/x"), {"intranet": ["acme.test"]}).alias("o"), measures.confidence(lit(1.0), lit(8), lit(12), lit(1.0), rejected=lit(True)).alias("c"), measures.confidence(lit(0.5), lit(8), lit(12), lit(1.0), approved=lit(True)).alias("d")).first()
+    assert tuple(r) == ("ARCHIVED", 0.0, "intranet", "external_web", 0.4, 0.825)
