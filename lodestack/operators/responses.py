@@ -14,9 +14,9 @@ from lodestack.functions import names
 from lodestack.operators.semantic import clean_confidence
 
 # What answers may name, and the names under which they may give a field.
-DOCUMENT_TYPES = ["Governance", "Strategy", "Architecture", "Roadmap", "Project", "Meeting Notes", "Workshop", "Presentation", "Budget", "Report", "Requirements", "Technical Design", "Operating Model", "Training", "Standard", "Regulation"]
-ENTITY_TYPES = ["Capability", "Initiative", "Team", "Product", "Platform", "Process", "Technology", "Concept", "Decision", "Risk", "Standard", "Requirement", "Equation", "Module", "Class", "Function"]
-PREDICATES = ["supports", "depends_on", "implements", "mentions", "references", "affects", "owned_by", "related_to", "mandated_by", "satisfies", "specifies", "supersedes", "imports", "calls", "extends"]
+DOCUMENT_TYPES = ["Governance", "Strategy", "Architecture", "Roadmap", "Project", "Meeting Notes", "Workshop", "Presentation", "Budget", "Report", "Requirements", "Technical Design", "Operating Model", "Training", "Standard", "Regulation", "Source Code", "Other"]
+ENTITY_TYPES = ["Capability", "Initiative", "Team", "Product", "Platform", "Process", "Technology", "Concept", "Decision", "Risk", "Standard", "Requirement", "Equation", "Module", "Class", "Function", "Library", "Service", "Interface", "API"]
+PREDICATES = ["supports", "depends_on", "implements", "mentions", "references", "affects", "owned_by", "related_to", "mandated_by", "satisfies", "specifies", "supersedes", "imports", "calls", "extends", "exposes", "defines"]
 OBLIGATIONS = ["MANDATORY", "RECOMMENDED", "OPTIONAL"]
 
 
@@ -96,11 +96,15 @@ def parsed(answer: Column, name: str) -> Column:
     items = F.when(value.startswith("["), F.from_json(value, "array<string>"))
     items = F.filter(items, lambda x: x.isNotNull() & (x.startswith("{") | (F.lit(shape.plain is not None) & ~x.startswith("["))))
     entries = F.transform(items, lambda x: _entry(x, shape))
-    for group in shape.needs:
-        entries = F.filter(entries, lambda e, group=group: F.array_contains(F.array(*[_filled(e[f]) for f in group]), True))
-    for field, (_, otherwise) in shape.listed.items():
-        if otherwise is None:
-            entries = F.filter(entries, lambda e, field=field: e[field].isNotNull())
+    must = [field for field, (_, otherwise) in shape.listed.items() if otherwise is None]
+
+    def whole(e: Column) -> Column:
+        out = F.lit(True)
+        for group in (*shape.needs, *((f,) for f in must)):
+            out = out & F.array_contains(F.array(*[_filled(e[f]) for f in group]), True)
+        return out
+
+    entries = F.filter(entries, whole)
     return F.coalesce(entries, F.filter(F.array(_entry(F.lit("{}"), shape)), lambda e: F.lit(False)))
 
 
