@@ -87,3 +87,46 @@ def uri_to_id(c: Column) -> Column:
 
 def local_name(c: Column) -> Column:
     return F.regexp_extract(c, "[^/#]*$", 0)
+
+
+#: Where the graph's addresses begin.
+BASE = "https://kg.example/"
+
+
+def camel(predicate: Column) -> Column:
+    """depends_on -> dependsOn."""
+    words = F.split(predicate, "_")
+    return F.concat(F.element_at(words, 1), F.array_join(F.transform(F.slice(words, 2, F.size(words)), F.initcap), ""))
+
+
+def predicate_label(uri: Column) -> Column:
+    """The stored form of a predicate's address: …/dependsOn -> depends_on."""
+    return F.lower(F.regexp_replace(local_name(uri), "([a-z0-9])([A-Z])", "$1_$2"))
+
+
+def predicate_uri(predicate: Column) -> Column:
+    return F.concat(F.lit(BASE), camel(predicate))
+
+
+def class_uri(kind: Column) -> Column:
+    return F.concat(F.lit(BASE), kind)
+
+
+def object_local_name(kind: Column, object_id: Column) -> Column:
+    """The id without its type's prefix."""
+    prefix = F.concat(slugify(kind), F.lit("_"))
+    return F.when(F.startswith(object_id, prefix), F.substring(object_id, F.length(prefix) + 1, F.length(object_id))).otherwise(object_id)
+
+
+def object_uri(kind: Column, object_id: Column) -> Column:
+    return F.concat(F.lit(BASE), slugify(kind), F.lit("/"), object_local_name(kind, object_id))
+
+
+def evidence_uri(evidence_id: Column) -> Column:
+    return F.concat(F.lit(BASE + "evidence/"), evidence_id.cast("string"))
+
+
+def says_yes(answer: Column) -> Column:
+    """Whether an answer affirms, what the model thought aloud left out; false for NULL and for answers that say neither."""
+    said = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?is)<think>.*?</think>", "")
+    return said.rlike(r"(?i)\byes\b")

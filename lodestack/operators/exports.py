@@ -28,6 +28,36 @@ def n_triples(triples: DataFrame, literals: list[str]) -> DataFrame:
     return triples.select(F.concat_ws(" ", _term(F.col("s")), _term(F.col("p")), o, F.lit(".")).alias("value"))
 
 
+def turtle(triples: DataFrame, literals: list[str]) -> DataFrame:
+    """One column value: each subject once, with its predicates and their objects in order. A subject's block is one row, so a subject with very many triples makes a long one."""
+    o = F.when(F.col("p").isin(*literals), _literal(F.col("o"))).otherwise(_term(F.col("o")))
+    by = triples.select("s", "p", o.alias("o")).distinct().groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_list("o")), ", ").alias("o"))
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", _term(F.col("p")), F.col("o")))), " ;\n    ")
+    return by.groupBy("s").agg(lines.alias("x")).select(F.concat(_term(F.col("s")), F.lit(" "), F.col("x"), F.lit(" .")).alias("value"))
+
+
+def json_ld(triples: DataFrame, literals: list[str]) -> DataFrame:
+    """One column value: a JSON-LD node for each subject, one a line."""
+    address = lambda c: F.concat(F.lit(BASE), F.regexp_replace(c, r"[\s<>\"{}|^`\\]", "_"))
+    node = F.when(F.col("p").isin(*literals), F.to_json(F.struct(F.col("o").alias("@value")))).otherwise(F.to_json(F.struct(address(F.col("o")).alias("@id"))))
+    by = triples.select("s", "p", node.alias("o")).distinct().groupBy("s", "p").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("o")), ","), F.lit("]")).alias("o"))
+    name = F.to_json(F.array(address(F.col("p"))))
+    entry = F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(":"), F.col("o"))
+    subject = F.to_json(F.struct(address(F.col("s")).alias("@id")))
+    return by.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("x")).select(F.concat(F.substring(subject, F.lit(1), F.length(subject) - 1), F.lit(","), F.col("x"), F.lit("}")).alias("value"))
+
+
+def node_link(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """part (nodes or links) and value: a JSON object for each node and each link of a viewer's graph."""
+    n = vertices.select(F.lit("nodes").alias("part"), F.to_json(F.struct("id", "label", F.col("kind").alias("type"))).alias("value"))
+    return n.union(edges.select(F.lit("links"), F.to_json(F.struct("source", "target", "predicate"))))
+
+
+def write_node_link(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """Both parts as folders of JSON lines."""
+    node_link(vertices, edges).write.mode("overwrite").partitionBy("part").text(path)
+
+
 def write_n_triples(triples: DataFrame, path: str, literals: list[str]) -> None:
     n_triples(triples, literals).write.mode("overwrite").text(path)
 

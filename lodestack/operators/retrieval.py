@@ -47,6 +47,41 @@ def intent(questions: DataFrame) -> DataFrame:
     return questions.select("question", first_hit(low, REASONING, "lookup").alias("reasoning"), first_hit(low, PREDICATES, None).alias("predicate"), F.arrays_overlap(words, F.array(*[F.lit(r) for r in REFERENTS])).alias("has_referent"))
 
 
+# Word stems that name a type of object, and phrases that ask for evidence.
+TYPES = {"Capability": ["capabilit"], "Decision": ["decision"], "Risk": ["risk"], "Team": ["team"], "Platform": ["platform"], "Technology": ["technolog"], "Initiative": ["initiative"], "Product": ["product"], "Process": ["process"], "Concept": ["concept"]}
+EVIDENCE = ["evidence", "support this", "supports this", "this conclusion", "back this up", "how do you know", "what proves", "cite"]
+
+
+def asked_for(questions: DataFrame) -> DataFrame:
+    """question, object_type (NULL when none is named) and wants_evidence."""
+    low = F.lower("question")
+    named = F.coalesce(*[F.when(F.array_contains(F.array(*[low.contains(s) for s in stems]), True), kind) for kind, stems in TYPES.items()])
+    return questions.select("question", named.alias("object_type"), F.array_contains(F.array(*[low.contains(x) for x in EVIDENCE]), True).alias("wants_evidence"))
+
+
+def descriptions(vertices: DataFrame, kept: DataFrame) -> DataFrame:
+    """id, label, kind of the kept objects, an id standing for a missing label."""
+    return vertices.join(kept.select("id").distinct(), "id", "left_semi").select("id", F.coalesce("label", "id").alias("label"), "kind")
+
+
+def compared(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """id and side (left, right or both) of the objects that one edge, either way, ties to one of two objects or to both."""
+    ends = edges.select(F.col("source").alias("at"), F.col("target").alias("id")).union(edges.select("target", "source"))
+    near = ends.where(F.col("at").isin(left, right) & ~F.col("id").isin(left, right)).groupBy("id").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    return near.select("id", F.when(F.col("lo") != F.col("hi"), "both").when(F.col("lo") == left, "left").otherwise("right").alias("side"))
+
+
+def path_facts(path: DataFrame, edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """step, source_label, predicate, target_label, forward of the edges along a path (step, id): the least predicate between two neighbours, forward ones first."""
+    a, b = path.select("step", F.col("id").alias("a")), path.select((F.col("step") - 1).alias("step"), F.col("id").alias("b"))
+    e = edges.select("source", "predicate", "target")
+    there = a.join(b, "step").join(e, ((F.col("a") == F.col("source")) & (F.col("b") == F.col("target"))) | ((F.col("a") == F.col("target")) & (F.col("b") == F.col("source"))))
+    best = there.groupBy("step", "a", "b").agg(F.min(F.struct((F.col("source") != F.col("a")).alias("back"), "predicate")).alias("x"))
+    label = vertices.select("id", F.coalesce("label", "id").alias("label"))
+    out = best.join(label.select(F.col("id").alias("a"), F.col("label").alias("source_label")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("label").alias("target_label")), "b", "left")
+    return out.select("step", F.coalesce("source_label", "a").alias("source_label"), "x.predicate", F.coalesce("target_label", "b").alias("target_label"), (~F.col("x.back")).alias("forward"))
+
+
 def _small(df: DataFrame, what: str) -> DataFrame:
     if df.limit(MOST_TERMS + 1).count() > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} {what} at once")

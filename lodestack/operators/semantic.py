@@ -72,6 +72,27 @@ def canonical_domains(exploded: DataFrame, mapped: DataFrame) -> DataFrame:
     return by.select("artifact_id", "domain", "confidence", rank.alias("rank"))
 
 
+def fuzzily_merged(exploded: DataFrame) -> DataFrame:
+    """artifact_id, domain, confidence, rank: within a document, in order of appearance, a domain joins the first one before it that is alike from MERGE on.
+
+    The first spelling stays, with the best confidence. exploded: artifact_id, position, domain, confidence; a document's domains are the few of its classification.
+    """
+    n = exploded.where(F.coalesce("domain", F.lit("")) != "").withColumn("norm", names.normalize_name(F.col("domain")))
+    n = n.withColumns({"tokens": names.key_tokens(F.col("norm")), "grams": names.trigrams(F.col("norm"))})
+    lists = n.groupBy("artifact_id").agg(F.array_sort(F.collect_list(F.struct("position", "domain", "confidence", "norm", "tokens", "grams"))).alias("all"))
+
+    def alike(a: Column, b: Column) -> Column:
+        return (a["norm"] == b["norm"]) | (F.round(names.similarity(a["norm"], b["norm"], a["tokens"], b["tokens"], a["grams"], b["grams"]), 9) >= MERGE)
+
+    def join(had: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(had, lambda h: alike(h, x)), True)
+        surer = lambda h, i: F.when(i + 1 == at, h.withField("confidence", F.greatest(h["confidence"], x["confidence"]))).otherwise(h)
+        return F.when(at > 0, F.transform(had, surer)).otherwise(F.concat(had, F.array(x)))
+
+    kept = lists.select("artifact_id", F.aggregate("all", F.slice("all", 1, 0), join).alias("kept"))
+    return kept.select("artifact_id", F.posexplode("kept").alias("rank", "x")).select("artifact_id", "x.domain", "x.confidence", "rank")
+
+
 def merged(parts: DataFrame) -> DataFrame:
     """One row per document out of its partial classifications: the fields of the most certain part (the largest id on ties) and the number of parts."""
     surest = F.max_by(F.struct("document_type", "type_confidence", "short_summary", "model"), F.struct("type_confidence", "id"))

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that hold QUERIES.
-MODULES = ["links", "catalog", "resolution", "semantic", "responses", "compliance", "graph", "history", "knowledge", "retrieval", "streams"]
+MODULES = ["links", "catalog", "resolution", "semantic", "responses", "compliance", "graph", "history", "knowledge", "retrieval", "derived", "streams"]
 
 
 class Query(NamedTuple):

@@ -69,6 +69,15 @@ def local_path(cache: str, connector: str, remote_id: Column, name: Column) -> C
     return F.concat_ws("/", F.lit(cache), F.lit(connector), F.substring(F.sha1(remote_id), 1, 16), name)
 
 
+def synced_map(plan: DataFrame, listing: DataFrame, known: DataFrame, failed: DataFrame) -> DataFrame:
+    """remote_id and version on the map after a plan was carried out: fetched ones as listed, kept ones and those whose fetch failed (remote_id) as known, dropped ones gone."""
+    now = listing.where(F.col("remote_id").isNotNull()).groupBy("remote_id").agg(F.max_by("version", F.coalesce("modified_at", F.lit(""))).alias("now"))
+    was = known.groupBy("remote_id").agg(F.max("version").alias("was"))
+    p = plan.where("action <> 'drop'").join(failed.select("remote_id", F.lit(True).alias("failed")).distinct(), "remote_id", "left").join(now, "remote_id", "left").join(was, "remote_id", "left")
+    old = F.coalesce(F.col("failed"), F.lit(False)) | (F.col("action") == "keep")
+    return p.select("remote_id", F.when(old, F.col("was")).otherwise(F.col("now")).alias("version")).where("version IS NOT NULL")
+
+
 def sync_plan(listing: DataFrame, known: DataFrame) -> DataFrame:
     """remote_id, action: fetch (new or another version), keep, or drop (gone). known: remote_id, version. A full outer join on the id; repeated listings take the last by modified_at."""
     new = listing.groupBy("remote_id").agg(F.max_by("version", F.coalesce("modified_at", F.lit(""))).alias("now"), F.lit(True).alias("here"))
