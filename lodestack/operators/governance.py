@@ -54,7 +54,8 @@ def domain_health(members: DataFrame, scores: DataFrame, lifecycle: DataFrame) -
     """domain, object_count, avg_quality, avg_freshness, review_backlog. members: object_id, domain. Averages of none are 0."""
     m = members.where(F.trim("domain") != "").select("object_id", F.trim("domain").alias("domain")).distinct()
     j = m.join(scores.select("object_id", "quality_score"), "object_id", "left").join(lifecycle.select("object_id", "freshness_score", "review_state"), "object_id", "left")
-    mean = lambda c, n: F.round(F.coalesce(F.avg(c), F.lit(0.0)), n)
+    # Scores have three decimals at most: summed as whole numbers, they are the same in any order.
+    mean = lambda c, n: F.round(F.coalesce(F.sum(F.round(F.col(c) * 1000).cast("long")) / F.count(c) / 1000, F.lit(0.0)), n)
     return j.groupBy("domain").agg(F.count("*").alias("object_count"), mean("quality_score", 1).alias("avg_quality"), mean("freshness_score", 3).alias("avg_freshness"), F.count_if(F.col("review_state").isin(OPEN_STATES)).alias("review_backlog"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import measures, names
 from lodestack.operators.documents import clause_references
 from lodestack.operators.resolution import resolved_ends
+from lodestack.runtime import cut
 
 EDGE = ["source", "predicate", "target", "confidence", "quote", "seq"]
 #: Quotes that an edge keeps.
@@ -96,7 +97,7 @@ def unless_linked(edges: DataFrame, known: DataFrame) -> DataFrame:
 
 def gathered(edges: DataFrame) -> DataFrame:
     """source, predicate, target with the best confidence (NULL is 0), how often it was said, and the first quotes by seq that aren't blank."""
-    e = edges.withColumn("q", F.when(F.trim(F.coalesce("quote", F.lit(""))) != "", F.struct("seq", F.trim("quote").alias("quote"))))
+    e = cut(edges).withColumn("q", F.when(F.trim(F.coalesce("quote", F.lit(""))) != "", F.struct("seq", F.trim("quote").alias("quote"))))
     # Of each edge the least few quotes, kept while they are combined.
     ranked = e.groupBy("source", "predicate", "target").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.count("*").alias("said"), F.min("q").alias("q0"))
     rest, at = e.select("source", "predicate", "target", "q").where("q IS NOT NULL"), "q0"
@@ -110,8 +111,8 @@ def gathered(edges: DataFrame) -> DataFrame:
 
 def consolidated(said: DataFrame, structural: list[DataFrame], crossing: DataFrame, containing: DataFrame) -> DataFrame:
     """All edges of a run: those said and the structural ones first, cross-references between pairs these leave untied, then containment between pairs still untied."""
-    first = reduce(DataFrame.unionByName, [x.select(*EDGE) for x in (said, *structural)])
-    second = first.unionByName(unless_linked(crossing, first).select(*EDGE))
+    first = cut(reduce(DataFrame.unionByName, [x.select(*EDGE) for x in (said, *structural)]))
+    second = cut(first.unionByName(unless_linked(crossing, first).select(*EDGE)))
     return gathered(second.unionByName(unless_linked(containing, second).select(*EDGE)))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import names
 from lodestack.operators.components import components
+from lodestack.runtime import cut
 
 
 def prepared(df: DataFrame, name: str = "name") -> DataFrame:
@@ -117,10 +118,13 @@ def resolved_ends(ends: DataFrame, surface: DataFrame, least: float = names.MERG
     """
     known = surface.where("norm <> ''").groupBy("norm").agg(F.min("object_id").alias("object_id"))
     asked = ends.select(names.normalize_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
-    open_ = asked.join(known, "norm", "left_anti").select(F.col("norm").alias("name"))
+    exact = asked.join(known, "norm").select("norm", "object_id")
+    open_ = cut(asked.join(known, "norm", "left_anti").select(F.col("norm").alias("name")))
+    if open_.isEmpty():
+        return exact
     near = similar_pairs(open_, known.select(F.col("norm").alias("name")), least).join(known.withColumnRenamed("norm", "b"), "b")
     best = near.groupBy(F.col("a").alias("norm")).agg(F.min_by("object_id", F.struct(-F.col("score"), F.col("object_id"))).alias("object_id"))
-    return asked.join(known, "norm").select("norm", "object_id").unionByName(best)
+    return exact.unionByName(best)
 
 
 def resolve_relationships(raw: DataFrame, surface: DataFrame) -> DataFrame:

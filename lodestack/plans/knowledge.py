@@ -135,7 +135,7 @@ def _appearing(spark, d):  # noqa: ANN001, ANN202
 
 def _consolidated(spark, d):  # noqa: ANN001, ANN202
     r, s, n = _requirements(spark, d), _surface(spark, d), _named(spark, d)
-    edges = K.consolidated(K.mandated_by(r, s).limit(0), [K.mandated_by(r, s)], K.references(r, s, _standards(spark, d)), K.appears_in(n.where("artifact_id IS NOT NULL")))
+    edges = K.consolidated(K.mandated_by(r, s), [], K.references(r, s, _standards(spark, d)), K.appears_in(n.where("artifact_id IS NOT NULL")))
     before = _edges(spark, d).select("source", "predicate", "target", "review_status")
     return K.with_kept_reviews(edges, before)
 
@@ -199,7 +199,7 @@ SELECT req AS source, 'appears_in' AS predicate, id AS target, max(confidence) A
     "gov_quality_ranked": Query(lambda s, d: _quality(s, d).orderBy("quality_score", "object_id").limit(25).select("object_id", "quality_score"), f"WITH {QUALITY} SELECT object_id, quality_score FROM q ORDER BY 2, 1 LIMIT 25"),
     "gov_domain_health": Query(
         lambda s, d: V.domain_health(_members(s, d), _quality(s, d), _lifecycle(s, d)),
-        f"""WITH {QUALITY} SELECT p_brand AS domain, count(*) AS object_count, round(avg(quality_score), 1) AS avg_quality, round(avg(life.freshness_score), 3) AS avg_freshness, count(*) FILTER (review_state = 'PENDING_REVIEW') AS review_backlog
+        f"""WITH {QUALITY} SELECT p_brand AS domain, count(*) AS object_count, round(sum(round(quality_score * 1000)::BIGINT)::BIGINT / count(*) / 1000, 1) AS avg_quality, round(sum(round(life.freshness_score * 1000)::BIGINT)::BIGINT / count(*) / 1000, 3) AS avg_freshness, count(*) FILTER (review_state = 'PENDING_REVIEW') AS review_backlog
 FROM part JOIN q ON q.object_id = 'part/' || p_partkey JOIN life ON life.object_id = q.object_id GROUP BY 1""",
     ),
     "gov_lifecycle_by_freshness": Query(lambda s, d: _lifecycle(s, d).groupBy("freshness_state").agg(F.count("*").alias("n"), F.min("freshness_score").alias("least")), f"WITH {STORE} SELECT freshness_state, count(*) AS n, min(freshness_score) AS least FROM life GROUP BY 1"),
