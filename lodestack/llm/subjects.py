@@ -17,6 +17,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
@@ -141,10 +143,9 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(ids=ids, lens=lens)
 
 
-def _flat(lists: pd.Series, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """The lists end to end, and their lengths."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return (np.concatenate([np.asarray(x, kind) for x in lists]) if sizes.sum() else np.zeros(0, kind)), sizes
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists end to end, and their lengths. NULL is an empty list."""
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class Model:
@@ -206,23 +207,23 @@ def _weighed(counts: DataFrame, label: dict[int, str | None]) -> Model:
 def _counting(model: Model | None):  # noqa: ANN202
     """Sentences with each term by leaf (of the document where there is no model yet), and the sentences themselves (term NULL), combined per batch."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lens, per_row = _flat(frame["lens"], np.int64)
-            ids, _ = _flat(frame["ids"], np.int64)
-            leaf = np.repeat(frame["leaf"].to_numpy(np.int64), per_row) if model is None else model.leaf_of(ids.astype(np.int32), lens)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lens, per_row = _flat(batch.column("lens"))
+            ids, _ = _flat(batch.column("ids"))
+            leaf = np.repeat(batch.column("leaf").to_numpy(zero_copy_only=False).astype(np.int64), per_row) if model is None else model.leaf_of(ids, lens)
             k, n = np.unique(leaf, return_counts=True)
-            pairs, c = np.unique((np.repeat(leaf, lens) << 32) + (ids + (1 << 31)), return_counts=True)
-            term = pd.array(np.r_[(pairs & 0xFFFFFFFF) - (1 << 31), np.zeros(len(k), np.int64)], "Int64")
-            term[len(pairs) :] = pd.NA
-            yield pd.DataFrame({"leaf": np.r_[pairs >> 32, k], "term": term, "c": np.r_[c, n]})
+            pairs, c = np.unique((np.repeat(leaf, lens) << 32) + (ids.astype(np.int64) + (1 << 31)), return_counts=True)
+            none = np.r_[np.zeros(len(pairs), bool), np.ones(len(k), bool)]
+            term = pa.array(np.r_[(pairs & 0xFFFFFFFF) - (1 << 31), np.zeros(len(k), np.int64)].astype(np.int32), mask=none)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[pairs >> 32, k]), term, pa.array(np.r_[c, n])], ["leaf", "term", "c"])
 
     return run
 
 
 def _counts(docs: DataFrame, model: Model | None) -> DataFrame:
     columns = ["ids", "lens"] + ["leaf"] * (model is None)
-    return cut(docs.select(*columns).mapInPandas(_counting(model), "leaf long, term int, c long").groupBy("leaf", "term").agg(F.sum("c").alias("c")))
+    return cut(docs.select(*columns).mapInArrow(_counting(model), "leaf long, term int, c long").groupBy("leaf", "term").agg(F.sum("c").alias("c")))
 
 
 def _labels(counts: DataFrame, examples: DataFrame) -> dict[int, str | None]:
@@ -271,15 +272,16 @@ def subject_model(docs: DataFrame, examples: DataFrame, areas: int) -> tuple[Mod
 def _mixing(model: Model, label: dict[int, str | None]):  # noqa: ANN202
     named = np.array([k for k, a in label.items() if a], np.int64)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lens, per_row = _flat(frame["lens"], np.int64)
-            ids, _ = _flat(frame["ids"], np.int32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lens, per_row = _flat(batch.column("lens"))
+            ids, _ = _flat(batch.column("ids"))
             leaf = model.leaf_of(ids, lens)
             ours = np.isin(leaf, named)
             pairs, n = np.unique((np.repeat(np.arange(len(per_row)), per_row)[ours] << 32) + leaf[ours], return_counts=True)
             row, leaf = pairs >> 32, pairs & 0xFFFFFFFF
-            yield pd.DataFrame({"item": frame["item"].to_numpy(object)[row], "leaf": leaf, "domain": np.array([label[k] for k in leaf.tolist()], object), "n": n, "sents": per_row[row]})
+            domain = pa.array([label[k] for k in leaf.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(row)), pa.array(leaf), domain, pa.array(n), pa.array(per_row[row])], ["item", "leaf", "domain", "n", "sents"])
 
     return run
 
@@ -295,7 +297,7 @@ def leaf_mixtures(items: DataFrame, taxonomy: DataFrame, examples: DataFrame, it
         return items.sparkSession.createDataFrame([], out)
     told = examples.where(F.col("domain").isin(areas) & F.col("text").isNotNull()).select(F.col("domain").alias("area"), "text").distinct()
     model, label = subject_model(docs, cut(told.mapInPandas(_read, "area string, ids array<int>, lens array<int>")), len(areas))
-    return docs.mapInPandas(_mixing(model, label), out).distinct()
+    return docs.mapInArrow(_mixing(model, label), out).distinct()
 
 
 def subjects(items: DataFrame, taxonomy: DataFrame, examples: DataFrame, item: str = "artifact_dir") -> DataFrame:
