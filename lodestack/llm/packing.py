@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lodestack.llm.small import control_rows
 
 BLOCK_ROWS = 10_000
+#: Tasks that pack blocks at most; beyond that a task has several blocks, one after the other.
+MOST_TASKS = 20_000
 #: The permitted sequence lengths as shares of a job's capacity.
 LENGTHS = tuple(k / 8 for k in range(1, 9))
 _OUT = "job_id int, doc_id long, piece int, piece_start long, piece_tokens long, bin_id long, bin_start long, bin_tokens long"
@@ -92,7 +94,8 @@ def pack(documents: DataFrame, jobs: DataFrame, block_rows: int = BLOCK_ROWS) ->
     blocks = max(1, -(-items.count() // block_rows))
     # The row's place in the files tells repeated and NULL keys apart.
     dealt = items.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(lambda tab: _pack(tab, todo), _OUT)
+    # By number, so that blocks aren't put together in one task because few bytes travel.
+    return dealt.repartition(min(blocks, MOST_TASKS), "block").groupBy("block").applyInArrow(lambda tab: _pack(tab, todo), _OUT)
 
 
 def split_documents(packed: DataFrame) -> DataFrame:
