@@ -67,8 +67,14 @@ def _resolved(spark, d):  # noqa: ANN001, ANN202
 RESOLVED = f"""WITH {S.NAMES}, raw AS (SELECT a.name AS subject, l_returnflag AS predicate, b.p_name AS object, round(l_discount * 10, 2) AS confidence,
   l_orderkey::BIGINT || '/' || l_linenumber || '/' || l_partkey || '/' || l_quantity::BIGINT AS quote FROM lineitem JOIN names a ON l_partkey = a.p_partkey JOIN names b ON l_suppkey = b.p_partkey),
 surface AS (SELECT norm, min(oid) AS object_id FROM (SELECT {S.norm_sql('name')} AS norm, 'part_' || {S.slug_sql('p_name')} AS oid FROM names) GROUP BY norm),
+ends AS (SELECT DISTINCT norm FROM (SELECT {S.norm_sql('subject')} AS norm FROM raw UNION ALL SELECT {S.norm_sql('object')} FROM raw) WHERE norm <> ''),
+op AS (SELECT norm, {S.tokens_sql('norm')} AS tokens, {S.grams_sql('norm')} AS grams FROM ends WHERE norm NOT IN (SELECT norm FROM surface)),
+sp AS (SELECT norm, object_id, {S.tokens_sql('norm')} AS tokens, {S.grams_sql('norm')} AS grams FROM surface),
+near AS (SELECT l.norm, r.object_id, round({S.SCORE}, 6) AS score FROM op l JOIN sp r ON list_has_any(l.tokens, r.tokens)),
+best AS (SELECT norm, object_id FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, object_id) AS rn FROM near WHERE score >= 0.88) WHERE rn = 1),
+known AS (SELECT norm, object_id FROM surface UNION ALL SELECT norm, object_id FROM best),
 t AS (SELECT s.object_id AS source, predicate, o.object_id AS target, confidence, quote, row_number() OVER (PARTITION BY s.object_id, predicate, o.object_id ORDER BY quote) AS r
-  FROM raw JOIN surface s ON s.norm = {S.norm_sql('subject')} JOIN surface o ON o.norm = {S.norm_sql('object')} WHERE s.object_id <> o.object_id)
+  FROM raw JOIN known s ON s.norm = {S.norm_sql('subject')} JOIN known o ON o.norm = {S.norm_sql('object')} WHERE s.object_id <> o.object_id)
 SELECT source, predicate, target, max(confidence) AS confidence, count(*) AS said, string_agg(quote, ' | ' ORDER BY quote) FILTER (r <= 3) AS quotes FROM t GROUP BY 1, 2, 3"""
 
 
