@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions.names import normalize_name
+
 
 def prf1(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     """One row: precision, recall, F1 of two sets of keys. Two empty sets agree (1); one empty side gives 0."""
@@ -16,6 +18,12 @@ def prf1(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     return c.select("both", F.round(share("p"), 6).alias("precision"), F.round(share("g"), 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
+def normalized_prf1(predicted: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+    """prf1 of names by their normal forms; NULL and names without one count as none."""
+    form = lambda df: df.select(normalize_name(F.col(key)).alias(key)).where(F.col(key) != "")
+    return prf1(form(predicted), form(gold), [key])
+
+
 def accuracy(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Share of rows whose columns agree; 1 without rows."""
     return pairs.agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(F.col(a).eqNullSafe(F.col(b)).cast("int")), F.lit(1.0)), 6).alias("accuracy"))

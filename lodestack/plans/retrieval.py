@@ -145,6 +145,11 @@ CASE WHEN ok THEN '["' || v || '"]' ELSE '[]' END AS variables FROM x""",
     "eval_prf1": Query(
         lambda s, d: E.prf1(_domains(s, d).where("model = 'wide-reader'").select("document_type"), _domains(s, d).where("model = 'tiny-reader' AND type_confidence > 0.8").select("document_type"), ["document_type"]),
         f"""WITH {ROWS}, p AS (SELECT DISTINCT document_type AS k FROM c WHERE model = 'wide-reader'), g AS (SELECT DISTINCT document_type AS k FROM c WHERE model = 'tiny-reader' AND type_confidence > 0.8),
+n AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng, (SELECT count(*) FROM p JOIN g ON p.k = g.k) AS b) SELECT b AS "both", round(b / np, 6) AS "precision", round(b / ng, 6) AS recall, round(2 * b / (np + ng), 6) AS f1 FROM n""",
+    ),
+    "eval_normalized_prf1": Query(
+        lambda s, d: E.normalized_prf1(S.part_names(s, d), table(s, d, "part").where("p_size % 2 = 0").select(F.col("p_name").alias("name")), "name"),
+        f"""WITH {S.NAMES}, p AS (SELECT DISTINCT {S.norm_sql('name')} AS k FROM names), g AS (SELECT DISTINCT {S.norm_sql('p_name')} AS k FROM part WHERE p_size % 2 = 0),
 n AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng, (SELECT count(*) FROM p JOIN g ON p.k = g.k) AS b) SELECT b AS "both", round(b / np, 6) AS "precision", round(b / ng, 6) AS recall, round(2 * b / (np + ng), 6) AS f1 FROM n""",
     ),
     "eval_label_accuracy": Query(

@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from lodestack.functions import names
+from lodestack.operators import evaluation
 from lodestack.operators import governance as V
 from lodestack.operators import knowledge as K
 from lodestack.operators import responses as P
@@ -114,6 +115,12 @@ def test_fuzzy_merge_against_brute_force(spark):
     assert rows(M.fuzzily_merged(df)) == sorted(want)
 
 
+def test_names_are_measured_by_normal_forms(spark):
+    p, g = spark.createDataFrame([("A b!",), ("x",), (None,), ("?",)], "n string"), spark.createDataFrame([("a B",), ("y",)], "n string")
+    assert tuple(evaluation.normalized_prf1(p, g, "n").first()) == (1, 0.5, 0.5, 0.5)
+    assert evaluation.normalized_prf1(p.limit(0), g.limit(0), "n").first().f1 == 1.0
+
+
 def test_map_after_a_sync(spark):
     listing = spark.createDataFrame([("a", "2", None), ("b", "1", None), ("n", "1", None), ("f", "9", None)], "remote_id string, version string, modified_at string")
     known = spark.createDataFrame([("a", "1"), ("b", "1"), ("gone", "1"), ("f", "8")], "remote_id string, version string")
