@@ -11,7 +11,7 @@ from lodestack.operators import responses as P
 from lodestack.operators import retrieval as R
 from lodestack.operators import semantic as M
 from lodestack.plans import substrate as S
-from lodestack.plans.graph import BOTH, FAR
+from lodestack.plans.graph import BOTH, FAR, GOAL, HUB
 from lodestack.plans.knowledge import _edges, _objects
 from lodestack.plans.registry import Query
 from lodestack.plans.responses import answers
@@ -77,7 +77,7 @@ LEFT, RIGHT = "nation/3", "nation/7"
 
 def _path(spark, d):  # noqa: ANN001, ANN202
     e = S.hierarchy(spark, d)
-    return R.path_facts(G.shortest_path(e, FAR, "region/0"), e, S.vertices(spark, d))
+    return R.path_facts(G.shortest_path(e, HUB, GOAL), e, S.vertices(spark, d))
 
 
 QUERIES = {
@@ -134,9 +134,9 @@ lower(question) SIMILAR TO '.*(evidence|cite).*' AS wants_evidence FROM {_list([
     ),
     "rag_path_facts": Query(
         _path,
-        f"""WITH RECURSIVE {BOTH}, w AS (SELECT '{FAR}' AS id, 0 AS dist UNION SELECT sym.b, w.dist + 1 FROM w JOIN sym ON w.id = sym.a WHERE w.dist < 6), r AS (SELECT id, min(dist) AS dist FROM w GROUP BY id),
+        f"""WITH RECURSIVE {BOTH}, w AS (SELECT '{HUB}' AS id, 0 AS dist UNION SELECT sym.b, w.dist + 1 FROM w JOIN sym ON w.id = sym.a WHERE w.dist < 6), r AS (SELECT id, min(dist) AS dist FROM w GROUP BY id),
 p AS (SELECT r.id, r.dist, min(q.id) AS parent FROM r JOIN sym ON sym.b = r.id JOIN r q ON q.id = sym.a AND q.dist = r.dist - 1 GROUP BY 1, 2),
-b AS (SELECT id, dist, parent FROM p WHERE id = 'region/0' UNION ALL SELECT p.id, p.dist, p.parent FROM b JOIN p ON p.id = b.parent)
+b AS (SELECT id, dist, parent FROM p WHERE id = '{GOAL}' UNION ALL SELECT p.id, p.dist, p.parent FROM b JOIN p ON p.id = b.parent)
 SELECT dist - 1 AS step, x.label AS source_label, min(predicate) AS predicate, y.label AS target_label, bool_or(source = parent) AS forward FROM b JOIN h ON (source = parent AND target = b.id) OR (source = b.id AND target = parent) JOIN v x ON x.id = parent JOIN v y ON y.id = b.id GROUP BY 1, 2, 4""",
     ),
     "scan_latest_runs": Query(

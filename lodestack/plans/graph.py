@@ -10,6 +10,8 @@ from lodestack.plans.registry import Query
 from lodestack.runtime import table
 
 HUB, FAR = "nation/3", "supplier/7"
+#: Two nations of one region, so that there is a path between them.
+GOAL = "nation/18"
 
 
 def _ve(spark, d):  # noqa: ANN001, ANN202
@@ -132,12 +134,12 @@ QUERIES = {
         lambda s, d: G.ego(S.hierarchy(s, d), _seed(s, FAR), 2), f"{REACH} SELECT source, predicate, target FROM h WHERE source IN (SELECT id FROM r WHERE dist <= 2) AND target IN (SELECT id FROM r WHERE dist <= 2)"
     ),
     "graph_shortest_path": Query(
-        lambda s, d: G.shortest_path(S.hierarchy(s, d), FAR, "region/0"),
+        lambda s, d: G.shortest_path(S.hierarchy(s, d), HUB, GOAL),
         # Least parents from the goal backwards, along the distances from the start.
-        f"""WITH RECURSIVE {BOTH}, w AS (SELECT '{FAR}' AS id, 0 AS dist UNION SELECT sym.b, w.dist + 1 FROM w JOIN sym ON w.id = sym.a WHERE w.dist < 6), r AS (SELECT id, min(dist) AS dist FROM w GROUP BY id),
+        f"""WITH RECURSIVE {BOTH}, w AS (SELECT '{HUB}' AS id, 0 AS dist UNION SELECT sym.b, w.dist + 1 FROM w JOIN sym ON w.id = sym.a WHERE w.dist < 6), r AS (SELECT id, min(dist) AS dist FROM w GROUP BY id),
 p AS (SELECT r.id, r.dist, min(q.id) AS parent FROM r JOIN sym ON sym.b = r.id JOIN r q ON q.id = sym.a AND q.dist = r.dist - 1 GROUP BY 1, 2),
-b AS (SELECT id, dist, parent FROM p WHERE id = 'region/0' UNION ALL SELECT p.id, p.dist, p.parent FROM b JOIN p ON p.id = b.parent)
-SELECT dist AS step, id FROM b UNION ALL SELECT 0, '{FAR}' WHERE EXISTS (SELECT 1 FROM b)""",
+b AS (SELECT id, dist, parent FROM p WHERE id = '{GOAL}' UNION ALL SELECT p.id, p.dist, p.parent FROM b JOIN p ON p.id = b.parent)
+SELECT dist AS step, id FROM b UNION ALL SELECT 0, '{HUB}' WHERE EXISTS (SELECT 1 FROM b)""",
     ),
     # The whole table is too much for recursive SQL; brute force on small graphs is in the tests.
     "graph_components": Query(lambda s, d: (lambda v, e: G.component_of(e, v))(*_part_orders(s, d))),
