@@ -14,6 +14,8 @@ from lodestack.runtime import cut
 
 #: Betweenness and communities are worked out per component, each in one task; larger components are refused, not sampled.
 MOST_EDGES = 200_000
+#: Squared edges of a component that one task of betweenness takes.
+SOURCE_WORK = 5_000_000
 
 
 def triples(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -151,10 +153,10 @@ def component_of(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.select("id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _brandes(adj: dict[str, list[str]]) -> dict[str, float]:
-    """Shortest-path betweenness of an undirected graph: from every node a breadth-first count of paths, then dependencies back along it (Brandes 2001)."""
-    score = dict.fromkeys(adj, 0.0)
-    for source in adj:
+def _brandes(adj: list[list[int]], weight: list[int], sources: range) -> list[float]:
+    """Shares of the sources in the betweenness of an undirected graph's vertices: from each a breadth-first count of paths, then dependencies back along it (Brandes 2001). A vertex stands for as many as its weight."""
+    score = [0.0] * len(adj)
+    for source in sources:
         order, level, paths, before = [source], {source: 0}, {source: 1.0}, {source: []}
         for v in order:
             for w in adj[v]:
@@ -167,10 +169,47 @@ def _brandes(adj: dict[str, list[str]]) -> dict[str, float]:
         owed = dict.fromkeys(order, 0.0)
         for w in reversed(order):
             for v in before[w]:
-                owed[v] += paths[v] / paths[w] * (1 + owed[w])
+                owed[v] += paths[v] / paths[w] * (weight[w] + owed[w])
             if w != source:
-                score[w] += owed[w]
-    return {v: s / 2 for v, s in score.items()}
+                score[w] += weight[source] * owed[w] / 2
+    return score
+
+
+def _between(frame: pd.DataFrame) -> pd.DataFrame:
+    """id, betweenness, n (vertices) of a component, whose ends hold folded vertices already: leaves are folded to the last one, in linear time, and paths are counted among the rest only.
+
+    Of several parts of the sources this is one; what takes no paths is counted in the first.
+    """
+    if len(frame) > MOST_EDGES:
+        raise ValueError(f"a component of {len(frame)} edges without its leaves is too large for betweenness")
+    part, parts = int(frame["part"].iloc[0]), int(frame["parts"].iloc[0])
+    names = sorted({*frame["a"], *frame["b"]})
+    at = {x: i for i, x in enumerate(names)}
+    ties: list[set[int]] = [set() for _ in names]
+    more, squares = [0] * len(names), [0] * len(names)
+    for end in ("a", "b"):
+        for x, m, q in zip(frame[end], frame["more_" + end], frame["squares_" + end], strict=True):
+            more[at[x]], squares[at[x]] = int(m), int(q)
+    for a, b in zip(frame["a"], frame["b"], strict=True):
+        ties[at[a]].add(at[b])
+        ties[at[b]].add(at[a])
+    n = len(names) + sum(more)
+    leaves = [v for v, x in enumerate(ties) if len(x) == 1]
+    for v in leaves:
+        if ties[v]:  # none is left of the last two
+            w = ties[v].pop()
+            ties[w].discard(v)
+            more[w] += 1 + more[v]
+            squares[w] += (1 + more[v]) ** 2
+            if len(ties[w]) == 1:
+                leaves.append(w)
+    rest = [v for v, x in enumerate(ties) if x]
+    place = {v: i for i, v in enumerate(rest)}
+    through = _brandes([sorted(place[w] for w in ties[v]) for v in rest], [1 + more[v] for v in rest], range(part, len(rest), parts))
+    score = [0.0 if part else (m * m - q) / 2 + m * (n - m - 1) for m, q in zip(more, squares, strict=True)]
+    for v, x in zip(rest, through, strict=True):
+        score[v] += x
+    return pd.DataFrame({"id": names, "betweenness": score, "n": [n] * len(names)})
 
 
 def _communities(adj: dict[str, list[str]]) -> dict[str, str]:
@@ -212,9 +251,68 @@ def _by_component(edges: DataFrame) -> DataFrame:
     return pairs.join(components(pairs).withColumnRenamed("node", "a"), "a").select("component", "a", "b")
 
 
+def _fold(off: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of vertices that are folded (id, into): those that hold others (id, into, more, squares), those that don't (id); and what is held then."""
+    off = cut(off.join(held, "id", "left"))
+    done = off.where("more IS NOT NULL")
+    weight = F.coalesce("more", F.lit(0)) + 1
+    gained = off.groupBy(F.col("into").alias("id")).agg(F.sum(weight).alias("more"), F.sum(weight * weight).alias("squares"))
+    held = held.join(done.select("id"), "id", "left_anti").unionByName(gained).groupBy("id").agg(F.sum("more").alias("more"), F.sum("squares").alias("squares"))
+    return done, off.where("more IS NULL").select("id"), cut(held)
+
+
 def betweenness(edges: DataFrame) -> DataFrame:
-    """id, betweenness (unnormalised, undirected) of every vertex with an edge. Components above MOST_EDGES raise."""
-    return _by_component(edges).groupBy("component").applyInPandas(_per_component("betweenness", _brandes), "id string, betweenness double")
+    """id, betweenness (unnormalised, undirected) of every vertex with an edge.
+
+    Vertices of one edge lie on no path but to what hangs on them. They are folded into their neighbours, by aggregates over all components, as long
+    as that takes at least half of the edges; a forest is done then. more: vertices folded into one, by branches; squares: their squared sizes,
+    summed; so (more² - squares) / 2 paths tie its branches and more * (n - more - 1) lead from them to the rest. What is left
+    is worked on by component, its sources dealt to tasks; more than MOST_EDGES edges left of a component raise.
+    """
+    spark = edges.sparkSession
+    left = cut(edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct())
+    held = spark.createDataFrame([], "id string, more long, squares long")
+    m, rounds, bare = left.count(), [], []
+    while m:
+        ends = left.union(left.select("b", "a")).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
+        # Of two vertices that have but each other the greater is folded.
+        off = cut(ends.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("a").alias("id")))
+        k = off.count()
+        if 2 * k < m:
+            break
+        left = cut(left.join(off.select(F.col("lo").alias("a"), F.col("hi").alias("b")), ["a", "b"], "left_anti"))
+        done, none, held = _fold(off.select("id", F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("into")), held)
+        rounds.append(done)
+        bare.append(none)
+        m -= k
+    known = held.select("id", ((F.col("more") * F.col("more") - F.col("squares")) / 2).cast("double").alias("betweenness"), (F.col("more") + 1).alias("n"))
+    if m:
+        rest = cut(_left_between(left, held))
+        known = known.join(rest, "id", "left_anti").unionByName(rest)
+    for done in reversed(rounds):
+        over = cut(known)
+        up = done.join(over.select(F.col("id").alias("into"), "n"), "into")
+        known = over.unionByName(up.select("id", ((F.col("more") * F.col("more") - F.col("squares")) / 2 + F.col("more") * (F.col("n") - F.col("more") - 1)).cast("double").alias("betweenness"), "n"))
+    out = known.select("id", "betweenness")
+    for none in bare:
+        out = out.unionByName(none.withColumn("betweenness", F.lit(0.0)))
+    return out
+
+
+def _left_between(left: DataFrame, held: DataFrame) -> DataFrame:
+    """id, betweenness, n of the vertices of edges that are left, each component's sources dealt to as many tasks as its size asks for."""
+    spark = left.sparkSession
+    comp = cut(components(left).withColumnRenamed("node", "a"))
+    e = left.join(comp, "a")
+    for end in ("a", "b"):
+        e = e.join(held.select(F.col("id").alias(end), F.col("more").alias("more_" + end), F.col("squares").alias("squares_" + end)), end, "left")
+    e = cut(e.fillna(0, [f"{c}_{end}" for c in ("more", "squares") for end in "ab"]))
+    size = e.groupBy("component").agg(F.count("*").alias("m")).select("component", F.least(F.lit(64), F.greatest(F.lit(1), F.ceil(F.col("m") * F.col("m") / SOURCE_WORK))).cast("int").alias("parts"))
+    e = e.join(size, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Dealt by number: small shuffles would be put together into one task.
+    e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component", "part")
+    parts = e.groupBy("component", "part").applyInPandas(_between, "id string, betweenness double, n long")
+    return parts.groupBy("id").agg(F.sum("betweenness").alias("betweenness"), F.max("n").alias("n"))
 
 
 def communities(edges: DataFrame) -> DataFrame:

@@ -189,6 +189,46 @@ def test_betweenness_and_communities(small):
     assert c["a"] == c["b"] and c["c"] == c["d"] and c["e"] == c["f"] and len(set(c.values())) == 3
 
 
+def _brute_betweenness(edges):
+    """Pairs of vertices, and the share of their shortest paths that each other vertex lies on."""
+    adj = {}
+    for a, b in edges:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    dist, paths = {}, {}
+    for s in adj:
+        dist[s, s], paths[s, s], order = 0, 1, [s]
+        for v in order:
+            for w in adj[v]:
+                if (s, w) not in dist:
+                    dist[s, w], paths[s, w] = dist[s, v] + 1, 0
+                    order.append(w)
+                if dist[s, w] == dist[s, v] + 1:
+                    paths[s, w] += paths[s, v]
+    return {v: sum(paths[s, v] * paths[v, t] / paths[s, t] for s in adj for t in adj if s < t and v not in (s, t) and (s, t) in dist and (s, v) in dist and dist[s, v] + dist[v, t] == dist[s, t]) for v in adj}
+
+
+def test_betweenness_of_folded_graphs(spark, monkeypatch):
+    """Trees, chains, pairs, and cycles with trees on them, against brute force, with the sources in one part and in many."""
+    tree = [(f"s{i}", f"n{i % 3}") for i in range(9)] + [(f"n{i}", "r") for i in range(3)]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(9)] + [("p", "q"), ("q", "p")]
+    cycles = [(f"g{i}", f"g{(i + k) % 8}") for i in range(8) for k in (1, 3) if i != 2] + [(f"g{i % 3}", f"h{i}") for i in range(12)] + [(f"h{i}", f"k{i}") for i in range(0, 12, 3)]
+    edges = tree + chain + cycles
+    want = _brute_betweenness(edges)
+    df = spark.createDataFrame([(a, "p", b) for a, b in edges] + [("z", "p", "z"), (None, "p", "x")], "source string, predicate string, target string")
+    for work in (graph.SOURCE_WORK, 50):
+        monkeypatch.setattr(graph, "SOURCE_WORK", work)
+        assert {r.id: r.betweenness for r in graph.betweenness(df).collect()} == pytest.approx(want)
+
+
+def test_betweenness_of_a_large_hub(spark):
+    """More leaves than a task would take, and a path for each two of them."""
+    n = graph.MOST_EDGES + 1
+    df = spark.range(n).selectExpr("'leaf/' || id AS source", "'p' AS predicate", "'hub' AS target")
+    top = graph.betweenness(df).where("betweenness > 0")
+    assert rows(top) == [("hub", n * (n - 1) / 2)]
+
+
 def test_patterns(small):
     t = graph.triples(*small)
     assert rows(graph.Pattern(t).match("?x", "p", "?y").absent("?y", "p", "?z").rows.select("x", "y")) == [("b", "c"), ("e", "f")]
