@@ -5,15 +5,20 @@ vertices: id, kind, label, confidence. edges: source, predicate, target. Travers
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import sys
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.operators.components import components
-from lodestack.runtime import cut
+from lodestack.runtime import broadcast_if_small, cut
 
-#: Betweenness and communities are worked out per component, each in one task; larger components are refused, not sampled.
+#: Larger components are refused, not sampled: by betweenness where more is left without leaves, by communities, which take a component in one task of 0.7 KB an edge.
 MOST_EDGES = 200_000
+MOST_TIES = 500_000
 #: Squared edges of a component that one task of betweenness takes.
 SOURCE_WORK = 5_000_000
 
@@ -212,29 +217,123 @@ def _between(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": names, "betweenness": score, "n": [n] * len(names)})
 
 
+class _Leaves:
+    """Vertices of one edge beside a group, to be taken first by name: of each two, by the name of the lesser end and then the greater; a name that another begins with counts as after it."""
+
+    def __init__(self, names: list[str], name: str) -> None:
+        """Both lists fall, so that the next are at the end; low has those before the group's own name."""
+        names = sorted(names, reverse=True)
+        k = sum(x > name for x in names)
+        self.high, self.low = names[:k], names[k:]
+
+    def all(self) -> list[str]:
+        return self.high + self.low
+
+    def first(self, name: str) -> tuple[str, list[str], int] | None:
+        """Of the pairs with the group: the first one's key, the list it is in and its place there."""
+        best = None
+        for names in (self.low, self.high):
+            # Only a name that begins with the least can come before it, and so on.
+            for i in range(len(names) - 1, -1, -1):
+                if i < len(names) - 1 and not names[i].startswith(names[i + 1]):
+                    break
+                key = _key(names[i], name)
+                if best is None or key < best[0]:
+                    best = key, names, i
+        return best
+
+    def renamed(self, name: str) -> None:
+        k = 0
+        while k < len(self.low) and self.low[k] > name:
+            k += 1
+        self.high += self.low[:k]
+        del self.low[:k]
+
+
+def _key(a: str, b: str) -> str:
+    return min(a, b) + max(a, b) + chr(sys.maxunicode)
+
+
 def _communities(adj: dict[str, list[str]]) -> dict[str, str]:
-    """Greedy modularity: the pair of tied groups whose union gains most is united while any gains; the first pair by name on ties."""
-    m2 = float(sum(len(x) for x in adj.values()))
-    group = {v: {v} for v in adj}
-    weight = {v: {w: 1 / m2 for w in adj[v] if w != v} for v in adj}
-    share = {v: len(adj[v]) / m2 for v in adj}
-    while True:
-        gains = [(2 * (e - share[a] * share[b]), a, b) for a, ties in weight.items() for b, e in ties.items() if a < b]
-        best = max(gains, key=lambda g: (g[0], [-ord(c) for c in g[1] + g[2]]), default=None)
-        if best is None or best[0] <= 0:
-            return {v: g for g, vs in group.items() for v in vs}
-        _, a, b = best
-        group[a] |= group.pop(b)
-        share[a] += share.pop(b)
-        for c, e in weight.pop(b).items():
-            weight[c].pop(b)
-            if c != a:
-                weight[a][c] = weight[c][a] = weight[a].get(c, 0.0) + e
+    """Greedy modularity: the pair of tied groups whose union gains most is united while any gains; the first pair by name on ties.
+
+    Gains are whole numbers: ties * m2 - degrees * degrees, m2 twice the edges. A pair's gain only falls while its ties stay as they are, so the heap's
+    gains are bounds and are worked out again when they come up. Leaves of a group gain alike: only the next of them is in the heap.
+    """
+    m2 = sum(len(x) for x in adj.values())
+    rest = {v for v, x in adj.items() if len(x) > 1} or adj.keys()
+    name = sorted(rest)
+    at = {v: i for i, v in enumerate(name)}
+    degree = [len(adj[v]) for v in name]
+    members = [[v] for v in name]
+    leaves = [_Leaves([w for w in adj[v] if w not in at], v) for v in name]
+    #: Of two groups their ties and the number of the entry that stands for them; of a group and its leaves that number.
+    ties: dict[int, dict[int, list[int]]] = {i: {} for i in range(len(name))}
+    leaf_entry = [0] * len(name)
+    heap: list[tuple[int, str, int, int, int]] = []
+    numbers = itertools.count(1)
+
+    def push(i: int, j: int) -> None:
+        tie = ties[i][j]
+        tie[1] = next(numbers)
+        heapq.heappush(heap, (degree[i] * degree[j] - tie[0] * m2, _key(name[i], name[j]), tie[1], i, j))
+
+    def push_leaf(i: int) -> None:
+        if found := leaves[i].first(name[i]):
+            leaf_entry[i] = next(numbers)
+            heapq.heappush(heap, (degree[i] - m2, found[0], leaf_entry[i], i, -1))
+
+    for i, v in enumerate(name):
+        for w in adj[v]:
+            if w in at and i < at[w]:
+                ties[i][at[w]] = ties[at[w]][i] = [1, 0]
+                push(i, at[w])
+        push_leaf(i)
+    while heap and heap[0][0] < 0:
+        loss, _, number, i, j = heapq.heappop(heap)
+        if j < 0:
+            if i not in ties or leaf_entry[i] != number:
+                continue
+            if degree[i] - m2 == loss:
+                _, names, k = leaves[i].first(name[i])
+                leaf = names.pop(k)
+                members[i].append(leaf)
+                degree[i] += 1
+                name[i] = min(name[i], leaf)
+                leaves[i].renamed(name[i])
+            push_leaf(i)
+            continue
+        tie = ties[i].get(j) if i in ties else None
+        if tie is None or tie[1] != number:
+            continue
+        if degree[i] * degree[j] - tie[0] * m2 != loss:
+            push(i, j)
+            continue
+        if len(ties[i]) < len(ties[j]):
+            i, j = j, i
+        degree[i] += degree[j]
+        name[i] = min(name[i], name[j])
+        members[i], members[j] = (members[i], members[j]) if len(members[i]) >= len(members[j]) else (members[j], members[i])
+        members[i] += members[j]
+        members[j] = []
+        if waiting := leaves[i].all() + leaves[j].all():
+            leaves[i] = _Leaves(waiting, name[i])
+            push_leaf(i)
+        for k, tie in ties.pop(j).items():
+            del ties[k][j]
+            if k == i:
+                continue
+            if k in ties[i]:
+                ties[i][k][0] += tie[0]
+            else:
+                ties[i][k] = ties[k][i] = tie
+            push(i, k)
+    return {v: name[i] for i in ties for v in members[i]}
 
 
 def _per_component(kind: str, work):  # noqa: ANN001, ANN202
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > MOST_EDGES:
+        if len(frame) > MOST_TIES:
             raise ValueError(f"a component of {len(frame)} edges is too large for {kind}")
         adj: dict[str, set[str]] = {}
         for a, b in zip(frame["a"], frame["b"], strict=True):
@@ -246,9 +345,39 @@ def _per_component(kind: str, work):  # noqa: ANN001, ANN202
     return run
 
 
+def _folded(edges: DataFrame) -> tuple[DataFrame, int, list[DataFrame]]:
+    """Distinct pairs (a, b) of ends with vertices of one edge folded into their neighbours, as long as a round takes at least half of the edges: what is left, its number, and each round's id, into.
+
+    A forest has nothing left. Whatever a vertex has been folded into is left, or folded in a later round, or the last of its tree.
+    """
+    left = cut(edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct())
+    m, rounds = left.count(), []
+    while m:
+        ends = left.union(left.select("b", "a")).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
+        # Of two vertices that have but each other the greater is folded.
+        off = cut(ends.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("a").alias("id")))
+        k = off.count()
+        if 2 * k < m:
+            break
+        left = cut(left.join(off.select(F.col("lo").alias("a"), F.col("hi").alias("b")), ["a", "b"], "left_anti"))
+        rounds.append(off.select("id", F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("into")))
+        m -= k
+    return left, m, rounds
+
+
 def _by_component(edges: DataFrame) -> DataFrame:
-    pairs = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a IS NOT NULL AND a <> b").distinct()
-    return pairs.join(components(pairs).withColumnRenamed("node", "a"), "a").select("component", "a", "b")
+    """component (one of its vertices), a, b of the distinct pairs of ends: folded vertices belong where what they were folded into does."""
+    left, m, rounds = _folded(edges)
+    known = edges.sparkSession.createDataFrame([], "id string, component string")
+    if m:
+        known = cut(components(left)).withColumnRenamed("node", "id")
+    out = left.join(known.withColumnRenamed("id", "a"), "a").select("component", "a", "b")
+    for off in reversed(rounds):
+        over = broadcast_if_small(known, known.count(), 128)
+        off = cut(off.join(over.withColumnRenamed("id", "into"), "into", "left").select("id", "into", F.coalesce("component", "into").alias("component")))
+        known = known.union(off.select("id", "component"))
+        out = out.union(off.select("component", "id", "into"))
+    return out
 
 
 def _fold(off: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -264,27 +393,17 @@ def _fold(off: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
 def betweenness(edges: DataFrame) -> DataFrame:
     """id, betweenness (unnormalised, undirected) of every vertex with an edge.
 
-    Vertices of one edge lie on no path but to what hangs on them. They are folded into their neighbours, by aggregates over all components, as long
-    as that takes at least half of the edges; a forest is done then. more: vertices folded into one, by branches; squares: their squared sizes,
-    summed; so (more² - squares) / 2 paths tie its branches and more * (n - more - 1) lead from them to the rest. What is left
-    is worked on by component, its sources dealt to tasks; more than MOST_EDGES edges left of a component raise.
+    Vertices of one edge lie on no path but to what hangs on them, so they are folded into their neighbours, by aggregates over all components. more:
+    vertices folded into one, by branches; squares: the branches' squared sizes, summed; so (more² - squares) / 2 paths tie its branches
+    and more * (n - more - 1) lead from them to the rest. What is left is worked on by component, its sources dealt to tasks; more than MOST_EDGES edges left of a component raise.
     """
-    spark = edges.sparkSession
-    left = cut(edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct())
-    held = spark.createDataFrame([], "id string, more long, squares long")
-    m, rounds, bare = left.count(), [], []
-    while m:
-        ends = left.union(left.select("b", "a")).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
-        # Of two vertices that have but each other the greater is folded.
-        off = cut(ends.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("a").alias("id")))
-        k = off.count()
-        if 2 * k < m:
-            break
-        left = cut(left.join(off.select(F.col("lo").alias("a"), F.col("hi").alias("b")), ["a", "b"], "left_anti"))
-        done, none, held = _fold(off.select("id", F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("into")), held)
+    left, m, folded = _folded(edges)
+    held = edges.sparkSession.createDataFrame([], "id string, more long, squares long")
+    rounds, bare = [], []
+    for off in folded:
+        done, none, held = _fold(off, held)
         rounds.append(done)
         bare.append(none)
-        m -= k
     known = held.select("id", ((F.col("more") * F.col("more") - F.col("squares")) / 2).cast("double").alias("betweenness"), (F.col("more") + 1).alias("n"))
     if m:
         rest = cut(_left_between(left, held))
@@ -316,8 +435,11 @@ def _left_between(left: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame) -> DataFrame:
-    """id, community (its least member's name among those united first) by greedy modularity, per component. Components above MOST_EDGES raise."""
-    return _by_component(edges).groupBy("component").applyInPandas(_per_component("community", _communities), "id string, community string")
+    """id, community (its least member's name) by greedy modularity, per component. Components above MOST_TIES raise."""
+    pairs = _by_component(edges)
+    # Dealt by number: small shuffles would be put together into one task.
+    pairs = pairs.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component")
+    return pairs.groupBy("component").applyInPandas(_per_component("community", _communities), "id string, community string")
 
 
 def by_kind(edges: DataFrame, vertices: DataFrame, top: int = 5) -> DataFrame:

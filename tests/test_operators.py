@@ -229,6 +229,60 @@ def test_betweenness_of_a_large_hub(spark):
     assert rows(top) == [("hub", n * (n - 1) / 2)]
 
 
+def _brute_communities(adj):
+    """All gains, in whole numbers, are worked out again after every union."""
+    m2 = sum(len(x) for x in adj.values())
+    group, ties, degree = {v: [v] for v in adj}, {v: dict.fromkeys(x, 1) for v, x in adj.items()}, {v: len(x) for v, x in adj.items()}
+    while True:
+        gains = [(e * m2 - degree[a] * degree[b], [-ord(c) for c in a + b], a, b) for a, x in ties.items() for b, e in x.items() if a < b]
+        gain, _, a, b = max(gains, default=(0, [], "", ""))
+        if gain <= 0:
+            return {v: g for g, vs in group.items() for v in vs}
+        group[a] += group.pop(b)
+        degree[a] += degree.pop(b)
+        for c, e in ties.pop(b).items():
+            del ties[c][b]
+            if c != a:
+                ties[a][c] = ties[c][a] = ties[a].get(c, 0) + e
+
+
+def test_communities_against_brute_force():
+    """Trees and graphs with many ties of gains and names that begin others."""
+    dice = random.Random(3)
+    for k in range(2, 120):
+        names = sorted({dice.choice("ab/") + "".join(dice.choices("ab1", k=dice.randrange(4))) for _ in range(k % 20 + 4)})
+        dice.shuffle(names)
+        adj = {v: set() for v in names}
+        for i in range(1, len(names)):
+            for j in {dice.randrange(min(i, k % 4 + 1)), dice.randrange(i) if k % 3 == 0 else 0}:
+                adj[names[i]].add(names[j])
+                adj[names[j]].add(names[i])
+        adj = {v: sorted(x) for v, x in sorted(adj.items())}
+        assert graph._communities(adj) == _brute_communities(adj)
+
+
+def test_communities_by_component(spark):
+    """A cycle with trees on it, a tree and a pair: each as alone."""
+    cycle = [(f"g{i}", f"g{(i + 1) % 6}") for i in range(6)] + [(f"g{i % 3}", f"h{i}") for i in range(9)] + [(f"h{i}", f"k{i}") for i in range(0, 9, 3)]
+    tree = [(f"s{i}", f"n{i % 3}") for i in range(9)] + [(f"n{i}", "r") for i in range(3)]
+    want = {}
+    for part in (cycle, tree, [("x", "y")]):
+        adj = {}
+        for a, b in part:
+            adj.setdefault(a, []).append(b)
+            adj.setdefault(b, []).append(a)
+        want |= _brute_communities(adj)
+    df = spark.createDataFrame([(a, "p", b) for a, b in [*cycle, *tree, ("x", "y"), ("y", "x"), ("z", "z"), (None, "x")]], "source string, predicate string, target string")
+    assert {r.id: r.community for r in graph.communities(df).collect()} == want
+
+
+def test_communities_of_large_hubs(spark):
+    """Two hubs of as many leaves as are past trying all pairs at each step, and one edge between them."""
+    n = 60_000
+    df = spark.range(2 * n).selectExpr("'leaf/' || id AS source", "'p' AS predicate", "'hub/' || id % 2 AS target").union(spark.createDataFrame([("hub/0", "p", "hub/1")]))
+    assert rows(graph.communities(df).groupBy("community").count()) == [("hub/0", n + 1), ("hub/1", n + 1)]
+
+
 def test_patterns(small):
     t = graph.triples(*small)
     assert rows(graph.Pattern(t).match("?x", "p", "?y").absent("?y", "p", "?z").rows.select("x", "y")) == [("b", "c"), ("e", "f")]
