@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.operators.components import components
-from lodestack.runtime import broadcast_if_small, cut
+from lodestack.runtime import BROADCAST_BYTES, broadcast_if_small, cut
 
 #: Larger components are refused, not sampled: by betweenness where more is left without leaves, by communities, which take a component in one task of 0.7 KB an edge.
 MOST_EDGES = 200_000
 MOST_TIES = 500_000
+#: Of one of the ends that `related_of_kind` lays beside each other.
+END_BYTES = 256
 #: Squared edges of a component that one task of betweenness takes.
 SOURCE_WORK = 5_000_000
 
@@ -66,6 +68,32 @@ class Pattern:
         return Pattern(self.trips, self.rows.join(part, self._shared(part), "left_anti"))
 
 
+def related_of_kind(trips: DataFrame) -> DataFrame:
+    """a, b, via, each once: what depends on or supports via, and another of one of its kinds that supports it.
+
+    Kinds are laid beside both before they meet, so only pairs that count are made, and those aren't shuffled: a pair that shares more kinds than one
+    is kept at the least of them. The first side is dealt by number, as a via may have most of the pairs.
+    """
+    kinds = trips.where("p = 'type'").groupBy("s").agg(F.array_sort(F.collect_set("o")).alias("kinds"))
+
+    def ends(predicates: list[str], end: str) -> DataFrame:
+        ties = trips.where(F.col("p").isin(predicates)).select("s", F.col("o").alias("via")).distinct()
+        return ties.join(kinds, "s").select(F.col("s").alias(end), "via", F.explode("kinds").alias("kind"), F.col("kinds").alias("kinds_" + end))
+
+    b = cut(ends(["supports"], "b"))
+    met = b.select("via", "kind").distinct()
+    a = ends(["depends_on", "supports"], "a").join(broadcast_if_small(met, met.count(), 128), ["via", "kind"], "left_semi")
+    many, spread = b.count(), int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if many * END_BYTES <= BROADCAST_BYTES:
+        a, b, on = a.repartition(spread, "a"), F.broadcast(b), ["via", "kind"]
+    else:
+        a = a.withColumn("share", F.pmod(F.xxhash64("a"), F.lit(spread)))
+        b = b.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+        on = ["via", "kind", "share"]
+    once = (F.size("kinds_a") == 1) | (F.size("kinds_b") == 1) | (F.col("kind") == F.array_min(F.array_intersect("kinds_a", "kinds_b")))
+    return a.join(b, on).where((F.col("a") != F.col("b")) & once).select("a", "b", "via")
+
+
 def one_predicate(edges: DataFrame) -> DataFrame:
     """A simple directed graph: of several predicates of an ordered pair the least."""
     return edges.groupBy("source", "target").agg(F.min("predicate").alias("predicate"))

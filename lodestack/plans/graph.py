@@ -100,7 +100,7 @@ QUERIES = {
         lambda s, d: G.Pattern(_triples(s, d)).match("?id", "type", "?kind").rows.groupBy("kind").agg(F.count("*").alias("n")), f"WITH {TRIPLES} SELECT o AS kind, count(*) AS n FROM t WHERE p = 'type' GROUP BY 1"
     ),
     "graph_named_related_same_type": Query(
-        lambda s, d: G.Pattern(_triples(s, d)).match("?a", "depends_on|supports", "?via").match("?b", "supports", "?via").match("?a", "type", "?kind").match("?b", "type", "?kind").rows.where("a <> b").select("a", "b", "via"),
+        lambda s, d: G.related_of_kind(_triples(s, d)),
         f"WITH {TRIPLES} SELECT DISTINCT x.s AS a, y.s AS b, x.o AS via FROM t x JOIN t y ON x.o = y.o JOIN t k ON k.s = x.s AND k.p = 'type' JOIN t l ON l.s = y.s AND l.p = 'type' AND l.o = k.o WHERE x.p IN ('depends_on', 'supports') AND y.p = 'supports' AND x.s <> y.s",
     ),
     "graph_named_evidence_for_object": Query(

@@ -283,6 +283,25 @@ def test_communities_of_large_hubs(spark):
     assert rows(graph.communities(df).groupBy("community").count()) == [("hub/0", n + 1), ("hub/1", n + 1)]
 
 
+def test_related_of_kind(spark, monkeypatch):
+    """Each pair once, also of two kinds in common, and the same whether a side is broadcast or dealt to shares; only pairs of one kind are made."""
+    kinds = {"s1": "KL", "s2": "LK", "s3": "K", "d1": "K", "d2": "M", "s4": "N"}
+    ties = [("s1", "supports", "v"), ("s1", "depends_on", "v"), ("s2", "supports", "v"), ("s3", "supports", "w"), ("d1", "depends_on", "v"), ("d2", "depends_on", "v"), ("s4", "supports", "v"), ("s3", "related_to", "v")]
+    t = spark.createDataFrame([(s, "type", k) for s, x in kinds.items() for k in x] + ties, "s string, p string, o string")
+    want = [("d1", "s1", "v"), ("d1", "s2", "v"), ("s1", "s2", "v"), ("s2", "s1", "v")]
+    for most in (graph.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(graph, "BROADCAST_BYTES", most)
+        assert rows(graph.related_of_kind(t)) == want
+
+
+def test_related_of_kind_leaves_other_kinds_out(spark):
+    """A hub that 200,000 of one kind depend on and 2,000 of another support: the 400 million pairs of unlike kinds are not made."""
+    n, m = 200_000, 2_000
+    ids = spark.range(n).selectExpr("'c/' || id AS s", "'C' AS kind", "'depends_on' AS p").union(spark.range(m).selectExpr("'s/' || id", "'S'", "'supports'"))
+    t = ids.selectExpr("s", "'type' AS p", "kind AS o").union(ids.selectExpr("s", "p", "'v' AS o"))
+    assert graph.related_of_kind(t).count() == m * (m - 1)
+
+
 def test_patterns(small):
     t = graph.triples(*small)
     assert rows(graph.Pattern(t).match("?x", "p", "?y").absent("?y", "p", "?z").rows.select("x", "y")) == [("b", "c"), ("e", "f")]
