@@ -1,5 +1,8 @@
+from unittest.mock import MagicMock
+
 import pytest
 from conftest import rows
+from py4j.protocol import Py4JError
 
 from lodestack.llm import lookalikes as L
 from lodestack.llm.lookalikes import lookalike_pairs, normalised, skeleton, skeleton_classes
@@ -42,3 +45,16 @@ def test_letters_of_every_script(spark):
         assert skeleton(a, table) != skeleton(b, table)
     d = spark.createDataFrame([(1, "ᎪB"), (2, "AB")], "doc_id long, text string")
     assert rows(lookalike_pairs(d)) == [(1, 2)]
+
+
+@pytest.mark.parametrize("letters", [TypeError("'JavaPackage' object is not callable"), Py4JError("no such class"), lambda text: text])
+def test_without_the_public_letters_it_fails(letters):
+    """A session whose ICU library is missing, fails or knows no look-alikes gives no table, rather than one of fewer letters."""
+    spark = MagicMock()
+    builder = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder
+    if isinstance(letters, Exception):
+        builder.side_effect = letters
+    else:
+        builder.return_value.build.return_value.getSkeleton.side_effect = letters
+    with pytest.raises(RuntimeError, match="ICU"):
+        L._table(spark)
